@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import queries as own
+
 
 def ship(spark: SparkSession, root: str) -> None:
     """Makes the package importable in Python workers that were not started with its path."""
@@ -35,8 +37,8 @@ def ship(spark: SparkSession, root: str) -> None:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(own.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(own.SQL)
