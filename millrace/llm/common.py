@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,14 @@ WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 ROWS_AT_A_TIME = 512
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores before it until no column of df is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,7 +102,3 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 def unsigned(values: np.ndarray) -> np.ndarray:
     return values.view(np.uint64)
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)

@@ -66,7 +66,7 @@ def counted(data: bytes) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeats, len(lines), shouted, joined.count(b"!") + joined.count(b"?")
 
 
-def measure(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def measure(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the columns of keep, and COUNTS; the only scan of the texts."""
     kept = docs.select(*([F.col(f"`{c}`") for c in keep]), F.col(f"`{text_col}`").alias("__text"))
     fields = [pa.field(c, pa.int64()) for c in COUNTS]
@@ -141,7 +141,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """docs without the rejected rows; all columns stay. Rows are told apart by id and text."""
-    key = F.xxhash64("doc_id", "text")
+    key, name = F.xxhash64("doc_id", "text"), common.free_name(docs, "__key")
     rows = docs.select(key.alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    good = judged(measure(rows, ["doc_id", "lang", "source"])).where("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(good, "__key", "left_semi").drop("__key")
+    good = judged(measure(rows, ["doc_id", "lang", "source"])).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(good, name, "left_semi").drop(name)

@@ -179,6 +179,7 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of its least doc_id, by key on ties. All columns stay."""
+    name = common.free_name(docs, "__key")
     each = labelled(common.stored(fingerprints(docs), "fingerprints"))
-    chosen = common.stored(each.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.key").alias("__key")), "chosen")
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(chosen, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    chosen = common.stored(each.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.key").alias(name)), "chosen")
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(chosen, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -27,8 +27,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import common
 
@@ -264,7 +265,7 @@ def covered(n: int, places: list[bytes] | None) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def located(docs: DataFrame, extra: list[str]) -> DataFrame:
+def located(docs: DataFrame, *extra: Column) -> DataFrame:
     """docs' doc_id, key, text and extra, with __places: a list of packed window places or null."""
     blocks = max(16, BLOCKS_A_PARTITION * common.partitions(docs))
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", *extra)
@@ -306,25 +307,26 @@ def digest(docs: DataFrame) -> DataFrame:
             yield common.batch_of(schema, doc_id=batch.column(0), **{c: [r[i] for r in rows] for i, c in enumerate(schema.names[1:])})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return located(rows, []).select("doc_id", "text", "__places").mapInArrow(run, SCHEMA)
+    return located(rows).select("doc_id", "text", "__places").mapInArrow(run, SCHEMA)
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """docs with repeated words cut out of text. Texts that lose nothing stay as they are; in
     others the kept words are joined by one space; rows left without a word are dropped."""
-    names = docs.columns
-    extra = [c for c in names if c not in ("doc_id", "text")]
 
     def run(batches):
         for batch in common.slices(batches):
-            column = batch.column(names.index("text"))
-            texts, keep = column.to_pylist(), np.ones(batch.num_rows, bool)
-            for i, (doc_id, p) in enumerate(zip(batch.column(names.index("doc_id")).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())):
+            text, keep = batch.column(1), np.ones(batch.num_rows, bool)
+            texts = text.to_pylist()
+            for i, (doc_id, p) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
                 if places := own(doc_id, p):
                     words = texts[i].encode().split()
                     texts[i] = b" ".join(w for w, x in zip(words, covered(len(words), places).tolist()) if not x).decode()
                     keep[i] = bool(texts[i])
-            out = [pa.array(texts, column.type) if c == "text" else batch.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(out, schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, text.type), batch.column(2)], names=["text", "row"]).filter(pa.array(keep))
 
-    return located(docs, extra).select(*[F.col(f"`{c}`") for c in names], "__places").mapInArrow(run, docs.schema)
+    # All columns travel in one struct, so none of their names can clash.
+    row = F.struct(*[F.col(f"`{c}`") if c != "text" else F.lit(None).cast("string").alias(c) for c in docs.columns])
+    out = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")), F.col("row")).select("doc_id", "text", "row", "__places")
+    cut = out.mapInArrow(run, T.StructType([docs.schema["text"], out.schema["row"]]))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
