@@ -1,0 +1,423 @@
+"""The ten operators against plain versions, on texts with nulls, ties, copies and odd white space."""
+
+import random
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, common, fingerprints, packing, quality, secrets, sharding, simhash, substrings, toxicity, urlfilter
+from millrace.llm.components import components
+from millrace.llm.queries import END_OF_TEXT, ENCODING_RANKS, PACKING_RANKS, vocabulary
+
+
+def some(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+# ---- 1
+
+def test_secrets(docs, data):
+    got = some(secrets.scan(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    assert got == Counter((i, *brute.secrets(t)) for i, t, *_ in data)
+
+
+@pytest.mark.parametrize("text, literals", [
+    ('key_value = "s3cretValue99"\nDB_PASSWORD_VALUE = key_value', ["s3cretValue99"]),
+    ('{"client_secret_key": "Zx81kk20plQ"}', ["Zx81kk20plQ"]),
+    ('config["auth_key"] = "a9" + "Hj38sKq2"', ["a9", "Hj38sKq2"]),
+    ("connect(user='bob', pwd='Tr0ub4dor&3')", ["Tr0ub4dor&3"]),
+    ("max_tokens = 1024\nsecret_name = 'prod-database'", []),
+    ("passphrase = 'changeme'\npwd: <your password here>", []),
+    ("He said: never share it. x == y; a := b", []),
+    ("# no names at all = ", []),
+])
+def test_lexed_literals(text, literals):
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == literals
+
+
+def test_base_spans_stay_and_redaction():
+    text = 'token = "0123456789abcdef0123456789abcdef"\npwd = "Tr0ub4dor&3"'
+    spans = secrets.all_spans(text)
+    assert [k for _, k, _ in spans] == [0, 2, 3]
+    assert secrets.redacted(text) == '[REDACTED]"\npwd = "[REDACTED]"'
+    assert secrets.redacted("plain") == "plain"
+
+
+def test_redact_keeps_rows(docs, data):
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == len(data)
+    assert out.where("text is null").count() == sum(t is None for _, t, *_ in data)
+    assert sum(brute.secrets(r.text)[0] for r in out.collect()) == 0
+
+
+# ---- 2
+
+def test_quality_counts(docs, data):
+    got = some(quality.judge(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == Counter((i, *brute.quality(t)) for i, t, *_ in data)
+
+
+def test_quality_fences(spark):
+    rng = random.Random(1)
+    clean = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(80)), "en", "hot") for i in range(300)]
+    junk = [(1000 + i, " ".join(f"w{rng.randrange(10**6)}$$$" for _ in range(80)), "en", "hot") for i in range(30)]
+    loud = [(2000 + i, " ".join(f"LOUD{rng.randrange(10**6)}!!" for _ in range(80)), "en", "rare") for i in range(3)]
+    # where symbols are usual, the threshold rises
+    usual = [(3000 + i, " ".join(f"w{rng.randrange(10**6)}" + "#" * (rng.random() < 0.4) for _ in range(80)), "en", "code") for i in range(300)]
+    out = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(clean + junk + loud + usual, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i] for i, *_ in clean + usual) and not any(out[i] for i, *_ in junk + loud)
+
+
+def test_quality_keep(docs, data):
+    kept = some(quality.judge(docs).where("kept"), "doc_id")
+    out = quality.keep(docs)
+    assert out.columns == docs.columns
+    assert some(out, "doc_id") == kept
+
+
+def test_sketch_buckets(spark):
+    v = [0, 1, 31, 32, 63, 64, 65, 1000, 12345, 10**9]
+    out = [r.b for r in spark.createDataFrame([(x,) for x in v], "v long").select(quality.bucket(F.col("v")).alias("b")).collect()]
+    assert out[:5] == v[:5] and all(b <= x <= b * (1 + 2**-quality.BITS) + 1 for x, b in zip(v, out))
+
+
+# ---- 3
+
+def test_packing(docs, data):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")[0])
+    pieces = packing.pack(docs, *vocabulary(PACKING_RANKS), END_OF_TEXT).collect()
+    ids = [(i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")) for i, t, *_ in data]
+    want = Counter((i, len(x)) for i, x in ids)
+    assert Counter((p.doc_id, p.doc_tokens) for p in pieces if p.start == 0) == want
+    assert sum(p.length for p in pieces) == sum(len(x) for _, x in ids)
+    of = {}
+    for i, x in ids:
+        of.setdefault((i, len(x)), []).append(x)
+    for p in pieces:
+        assert any(zlib.crc32(x[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for x in of[p.doc_id, p.doc_tokens])
+    sequences = {}
+    for p in sorted(pieces, key=lambda p: p.offset):
+        assert p.offset == sequences.get(p.sequence_id, 0)
+        sequences[p.sequence_id] = p.offset + p.length
+    assert max(sequences.values()) <= 1024
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_is_optimal(seed):
+    rng = random.Random(seed)
+    length, n = 32, rng.randrange(40, 200)
+    points = {0: 0, n: 0}
+    at = 0
+    while at < n:
+        at += rng.randrange(1, 20)
+        if at < n:
+            points[at] = rng.choice([0, packing.SENTENCE, packing.MID])
+    ordered = sorted(points)
+    chosen = packing.cuts(ordered, [points[p] for p in ordered], length)
+    cost = sum(packing.padding(b - a, length) + points[b] + packing.OPENING for a, b in zip([0, *chosen], chosen))
+    assert chosen[-1] == n and all(0 < b - a <= length for a, b in zip([0, *chosen], chosen))
+    assert cost == brute.best_packing(n, points, length, packing.OPENING)
+
+
+def test_packing_blocks():
+    """Small blocks carry their last sequence on; nothing is lost and order stays."""
+    tok = packing.tokenizer(*vocabulary(PACKING_RANKS), END_OF_TEXT)
+    packer = packing.Packer(tok, 0, block=3000)
+    rng = random.Random(2)
+    texts = [" ".join(f"word{rng.randrange(999)}." for _ in range(rng.randrange(0, 3000))) for _ in range(12)]
+    rows = [r for i, t in enumerate(texts) for b in packer.add(i, t) for r in b.to_pylist()] + [r for b in packer.pack(last=True) for r in b.to_pylist()]
+    total = {i: len(tok.encode(t)) // 4 + 1 for i, t in enumerate(texts)}
+    at = {i: 0 for i in total}
+    for r in rows:
+        assert r["start"] == at[r["doc_id"]] and r["doc_tokens"] == total[r["doc_id"]]
+        at[r["doc_id"]] += r["length"]
+    assert at == total and [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+
+
+# ---- 4
+
+def test_substrings(docs, data):
+    got = some(substrings.digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter(brute.substrings([(i, t) for i, t, *_ in data]))
+
+
+def test_substrings_across_partitions(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(50))
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + (" " + passage if i % 3 == 0 else "") + f" tail{i}") for i in range(120)]
+    rows += [(200, " ".join(f"a{i % 40}" for i in range(400)))]
+    got = some(substrings.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(12)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter(brute.substrings(rows))
+
+
+def test_count_min_never_under():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    parts = [np.unique(rng.choice(h, 2000), return_counts=True) for _ in range(4)]
+    import pyarrow as pa
+
+    table = pa.table({"block": [0] * 4, "hashes": [a.tobytes() for a, _ in parts], "counts": [np.minimum(n, 2).astype(np.uint8).tobytes() for _, n in parts]})
+    found = set(substrings.merged(table).column("h").to_numpy().view(np.uint64).tolist())
+    exact = Counter()
+    for a, n in parts:
+        exact.update(dict(zip(a.tolist(), n.tolist())))
+    assert {x for x, n in exact.items() if n > 1} <= found
+
+
+def test_removed_keeps_columns(docs, data):
+    out = substrings.removed(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    want = {i: k for i, n, k, _ in brute.substrings([(i, t) for i, t, *_ in data])}
+    assert {r.doc_id for r in out.collect()} <= set(want)
+    assert out.where("text = ''").count() == docs.where("text = ''").count()
+
+
+# ---- 5
+
+def test_fingerprints(docs, data, spark):
+    rows = sorted(((i, t) for i, t, *_ in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    fp = lambda t: ",".join(f"{h:08x}:{p}" for h, p in brute.winnow(t or "", fingerprints.GRAM, fingerprints.WINDOW, lambda s, g: fingerprints.gram_hashes(s, g).tolist()))
+    hashes = lambda s: {x.split(":")[0] for x in s.split(",") if x}
+    near = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        new = t[: len(t) - half] + after[:half]
+        want[i, len(t), brute.sha(new), fp(t), fp(new), round(near(hashes(fp(t)), hashes(fp(new))), 9), round(near(hashes(fp(t)), hashes(fp(after))), 9)] += 1
+    for parts in (1, 7):
+        got = fingerprints.with_successor(docs, parts).withColumn("near_edited", F.round("near_edited", 9)).withColumn("near_next", F.round("near_next", 9))
+        assert some(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == want
+
+
+def test_winnowing_guarantee():
+    rng = random.Random(4)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(fingerprints.WINDOW + fingerprints.GRAM - 1))
+    for _ in range(20):
+        a, b = ("".join(rng.choice("ijklmn ") for _ in range(rng.randrange(300))) + shared + "".join(rng.choice("opqrst ") for _ in range(200)) for _ in range(2))
+        assert set(fingerprints.winnow(a)[0].tolist()) & set(fingerprints.winnow(b)[0].tolist())
+
+
+# ---- 6
+
+def test_simhash(docs, data):
+    want = brute.components([(i, t) for i, t, *_ in data if i is not None])
+    got = simhash.grouped(docs).where("doc_id is not null").collect()
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(i, f, c) for i, (f, c) in want.items()}
+    assert simhash.grouped(docs).count() == len(data)
+
+
+def test_grid_join_finds_all_links(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, k, replace=False)) for b in base for k in (1, 2, 3, 4)]
+    dense = [int(base[0]) ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)]
+    fps = sorted({*map(int, base), *near, *dense, 0, 2**64 - 1})
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    links = [(r.a, r.b) for r in simhash.links(df, 16).collect()]
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a % 2**64)] = find(b % 2**64)
+    got = {f: find(f) for f in fps}
+    brute_root = {f: f for f in fps}
+
+    def find2(x):
+        while brute_root[x] != x:
+            x = brute_root[x]
+        return x
+
+    a = np.array(fps, np.uint64)
+    for i in range(len(a)):
+        for j in np.flatnonzero(np.bitwise_count(a[:i] ^ a[i]) <= simhash.NEAR):
+            brute_root[find2(fps[i])] = find2(fps[int(j)])
+    classes = lambda r, f: Counter(frozenset(x for x in fps if r[x] == y) for y in set(r.values()))
+    assert classes(got, None) == classes({f: find2(f) for f in fps}, None)
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(60)] + [(500, x) for x in range(501, 560)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    root = {x: x for p in pairs for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {x: r for x, r in root.items() if x != r}
+
+
+def test_representatives(docs, data):
+    want = {c for _, c in brute.components([(i, t) for i, t, *_ in data if i is not None]).values()}
+    out = simhash.representatives(docs)
+    got = [r.doc_id for r in out.collect()]
+    assert out.columns == docs.columns and sorted(x for x in got if x is not None) == sorted(want)
+
+
+# ---- 7
+
+def test_sharding(docs, data):
+    rows = sharding.placed(docs, shards=4, slots=64).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in data)
+    loads = Counter()
+    for s in range(4):
+        own = [r for r in rows if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        loads[s] = sum(r["size"] for r in own)
+    largest = max(sum(r["size"] for r in rows if r.virtual_slot == v) for v in {r.virtual_slot for r in rows})
+    assert max(loads.values()) <= sum(loads.values()) / 4 + largest
+
+
+def test_rebalancing_edits_the_map(spark):
+    slots = spark.createDataFrame([(i, 1000 if i % 4 == 0 else 10, 1) for i in range(64)], "virtual_slot int, bytes long, n long")
+    first = sharding.first_map(slots, 4)
+    second = sharding.rebalanced(first, slots, 4)
+    a, b = ({r.virtual_slot: r.shard for r in x.collect()} for x in (first, second))
+    room = -(-16 * 1000 - 48 * 10) // 4
+    loads = Counter()
+    for r in slots.collect():
+        loads[b[r.virtual_slot]] += r.bytes
+    assert max(loads.values()) - min(loads.values()) <= 1000 and max(loads.values()) <= -room + 1000
+    assert sum(a[x] == b[x] for x in a) >= 16  # what has room stays
+    third = sharding.rebalanced(second, slots, 4)
+    assert {r.virtual_slot: r.shard for r in third.collect()} == b and third.first().version == 2
+
+
+# ---- 8
+
+def test_bpe(docs, data):
+    import tiktoken
+
+    path, pattern = vocabulary(ENCODING_RANKS)
+    enc = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=brute.ranks(path), special_tokens={})
+    want = Counter()
+    for i, t, *_ in data:
+        ids = enc.encode_ordinary(t or "")
+        want[i, len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha(t or "")] += 1
+    assert some(bpe.round_trip(docs, path, pattern), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
+def test_bpe_on_random_text():
+    import tiktoken
+
+    path, pattern = vocabulary(ENCODING_RANKS)
+    enc = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=brute.ranks(path), special_tokens={})
+    own = bpe.encoder(path, pattern)
+    rng = random.Random(9)
+    alphabet = ["a", "b", "e", "t", "ing", "the", " ", "  ", "\n", "\t", ".", "'s", "'", "1", "½", "²", "é", "ß", "中", "文", "😀", "\u00a0", "\u2028", "\x1c", "\x85", "ñ", "Ω", "_", "-"]
+    for _ in range(600):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(80)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == enc.encode_ordinary(t), repr(t)
+    for t in ("a" * 5000, "ab" * 2000, "the" * 1000, "\n" * 300, " " * 300):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == enc.encode_ordinary(t)
+        assert own.decode(own.encode(t)) == t.encode()
+
+
+# ---- 9
+
+@pytest.mark.parametrize("seed", range(20))
+def test_segments(seed):
+    rng = random.Random(seed)
+    n = rng.randrange(1, 40)
+    places = sorted(rng.sample(range(n), rng.randrange(0, n + 1)))
+    scores = [rng.choice([0.4, 0.9, 1.3, 2.1]) for _ in places]
+    dense = [-0.5] * n
+    for p, s in zip(places, scores):
+        dense[p] = s
+    assert [(a, b) for _, a, b in toxicity.segments(places, scores, 0.5)] == brute.segments(dense)
+
+
+def test_toxicity(spark):
+    rng = random.Random(10)
+    bad = ["vile", "scum", "idiot", "trash"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        words = [f"w{rng.randrange(300)}" for _ in range(60)]
+        if toxic:
+            for _ in range(5):
+                words.insert(rng.randrange(20, 30), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(None, "vile scum"), (9999, None), (9998, "")]
+    labels += [(None, 1), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(bad) <= {w.decode() for w in model.lexicon}
+    out = toxicity.score(docs, model).collect()
+    truth = dict(labels)
+    held = [r for r in out if r.held_out]
+    assert {r.doc_id for r in held} == {i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sum(r.predicted == truth[r.doc_id] for r in held if r.doc_id in truth) >= 0.97 * len([r for r in held if r.doc_id in truth])
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out) and len(out) == len(rows)
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(docs, model).first().score == 0.5
+
+
+# ---- 10
+
+URLS = [None, "", "no scheme", "http://Example.COM/en/x", "https://www.example.com/en/1?q=/x", "https://a.b.example.com/en/", "http://example.com", "http://example.com/e", "http://x.net/es/1#f", "http://net/fr/", "http://xnet/es/", "http://notcom/", "http://u@h.org:8/p://q/r", "http://casino-win.example.org/a", "ftp://ads-track.net/en", "http://ÄÖ.com/É", "a://b://c.com/"]
+
+
+def by_hand(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.index(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, after = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+        path = after[: min([after.index(c) for c in "?#" if c in after] or [len(after)])]
+    fits = []
+    for action, rule in urlfilter.RULES:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            fits.append((len(rule), rule, action))
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2]
+    return host, path, None, "block" if set(host.split(".")) & set(urlfilter.LABELS) else "allow"
+
+
+def test_urls(spark):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages).collect()}
+    assert got == {i: by_hand(u) for i, u in enumerate(URLS)}
+    assert urlfilter.judge(pages.limit(0)).count() == 0
+
+
+def test_collisions_never_decide(tmp_path):
+    data = urlfilter.layout(urlfilter.RULES, urlfilter.LABELS, digest=lambda s: 5)
+    (tmp_path / "d").write_bytes(data)
+    d = urlfilter.Digests(str(tmp_path / "d"))
+    import unittest.mock as m
+
+    with m.patch.object(urlfilter.xxhash, "xxh64_intdigest", lambda s: 5):
+        assert [urlfilter.judge_urls([(u or "").encode()], d)[0] for u in URLS] == [by_hand(u) for u in URLS]
+
+
+# ---- all
+
+def test_empty_tables(none, spark):
+    path, pattern = vocabulary(ENCODING_RANKS)
+    for out in (secrets.scan(none), secrets.redact(none), quality.judge(none), quality.keep(none), packing.pack(none, *vocabulary(PACKING_RANKS), END_OF_TEXT), substrings.digest(none), substrings.removed(none),
+                fingerprints.with_successor(none), simhash.grouped(none), simhash.representatives(none), sharding.placed(none), bpe.round_trip(none, path, pattern)):
+        assert out.count() == 0
+
+
+def test_stored_tables_are_released(spark):
+    common.stored(spark.range(3).toDF("a"), "x")
+    common.release(spark)
+    fs, at = common.hadoop_fs(spark, f"{common.shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}")
+    assert not fs.exists(at)
