@@ -1,18 +1,19 @@
 """Toxicity by maximum-scoring segments.
 
-Model: log-odds of words between toxic and other documents with an informative Dirichlet
-prior (Monroe, Colaresi and Quinn, "Fightin' Words"); words whose log-odds are at least
-LEAST_Z standard deviations over 0 score their log-odds, all words lose DRIFT. In a text, all
-maximal scoring segments are found in linear time (Ruzzo and Tompa). A segment's score S in a
-text of n words has the expected number E = K n exp(-lambda S) of segments at least as good in
-harmless text (Karlin and Altschul); lambda solves sum p exp(lambda s) = 1 over the words of
-other documents, and K is counted on harmless calibration documents. Segments with E under
-SIGNIFICANT are toxic passages. A logistic calibration of -ln E of the best segment and of
-the number of passages gives the score.
-
-The fit uses at most SAMPLE labelled rows, those with the least hash of their id, three of
-four for the words and the rest for the calibration; every document is scored. Rows whose
-crc32(doc_id) mod 4 is 2 are held out.
+Model: log-odds of words and of their beginnings between toxic and other documents with an
+informative Dirichlet prior (Monroe, Colaresi and Quinn, "Fightin' Words"). Those whose
+log-odds are at least LEAST_Z standard deviations over 0 form the lexicon; a word scores the
+largest log-odds of itself and its beginnings there, if any, and every word loses DRIFT. In a
+text, all maximal scoring segments are found in linear time (Ruzzo and Tompa). A segment's
+score S in a text of n words has the expected number E = K n exp(-lambda S) of segments at
+least as good in harmless text (Karlin and Altschul); lambda solves sum p exp(lambda s) = 1
+over the words of other documents, and K is counted on harmless calibration documents.
+Segments with E under SIGNIFICANT are toxic passages. A logistic calibration of -ln E of the
+best segment and of the number of passages gives the score.
+
+The fit uses at most SAMPLE labelled rows, those with the least hash of their id, one of
+each group of near copies, three of four for the words and the rest for the calibration;
+every document is scored. Rows whose crc32(doc_id) mod 4 is 2 are held out.
 
 Defined results: texts without words (null, empty) have no segment and score like a harmless
 text; repeated rows score alike; a document with several labels is toxic if any says so; rows
@@ -29,13 +30,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
 
 SAMPLE = 20_000
-#: Terms of the model at most, those with the largest z.
+SHINGLE = 5
+#: Beginnings of words that count as features, in bytes, and how often a document counts for one.
+BEGINNINGS, MOST_A_DOCUMENT = range(4, 11), 5
+#: Entries of the lexicon at most, those with the largest z.
 TERMS = 50_000
 PRIOR, LEAST_Z, DRIFT, SIGNIFICANT, CUT = 0.05, 3.0, 0.5, 0.01, 0.3
 #: ASCII punctuation becomes a space; bytes of longer code points stay.
@@ -71,20 +76,47 @@ def segments(places: list[int], scores: list[float], drift: float) -> list[tuple
     return [(r - l, a, b) for a, b, l, r, _ in found]
 
 
+def parts(word: bytes) -> list[bytes]:
+    """A word as a feature, marked by a space at its end, and its beginnings."""
+    return [word + b" ", *(word[:k] for k in BEGINNINGS if k < len(word))]
+
+
+class Scores(dict):
+    """Scores of words over -DRIFT, 0 for others; remembers what it has worked out."""
+
+    def __init__(self, lexicon: dict[bytes, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: bytes) -> float:
+        found = [x for f in parts(word) if (x := self.lexicon.get(f)) is not None]
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = max(found) - DRIFT if found else 0.0
+        return out
+
+    def __reduce__(self):
+        return Scores, (self.lexicon,)
+
+
 @dataclass
 class Model:
-    """lexicon: scores of the words that score over -DRIFT."""
+    """scores: by the lexicon, over -DRIFT."""
 
-    lexicon: dict[bytes, float]
+    scores: Scores
     rate: float = 1.0
     k: float = 0.1
     weights: tuple[float, ...] | None = None
     share: float = 0.5
 
+    @property
+    def lexicon(self) -> dict[bytes, float]:
+        return self.scores.lexicon
+
     def passages(self, tokens: list[bytes]) -> list[tuple[float, int, int]]:
-        known = self.lexicon
-        places = [i for i, w in enumerate(tokens) if w in known]
-        return segments(places, [known[tokens[i]] for i in places], DRIFT) if places else []
+        values = list(map(self.scores.__getitem__, tokens)) if self.scores.lexicon else []
+        places = [i for i, v in enumerate(values) if v]
+        return segments(places, [values[i] for i in places], DRIFT) if places else []
 
     def features(self, n: int, found: list[tuple[float, int, int]]) -> tuple[float, float]:
         if not found:
@@ -123,6 +155,17 @@ def remainder():
     return F.crc32(F.col("doc_id").cast("string")) % 4
 
 
+def sketched(batches):
+    """(doc_id, text) with the least hash of its SHINGLE-word shingles: near copies mostly share it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("group", pa.int64())])
+    for batch in common.slices(batches):
+        least = []
+        for data in common.bytes_of(batch.column(1)):
+            w = words(data)
+            least.append(min((xxhash.xxh64_intdigest(b" ".join(x)) for x in zip(*(w[i:] for i in range(SHINGLE)))), default=xxhash.xxh64_intdigest(b" ".join(w))))
+        yield common.batch_of(schema, doc_id=batch.column(0), text=batch.column(1), group=common.signed(np.array(least, np.uint64)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """text, toxic and part (0 to 3) of at most `sample` labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(remainder() != 2)
@@ -130,47 +173,62 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     chosen = common.stored(chosen.select(F.col("doc_id").alias("id"), "toxic"), "chosen")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # At most `sample` rows of 16 bytes: the bound for the broadcast.
-    return common.stored(rows.join(F.broadcast(chosen), rows.doc_id == chosen.id).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"), F.pmod(F.xxhash64("doc_id") + 1, F.lit(4)).cast("int").alias("part")), "sample")
+    own = rows.join(F.broadcast(chosen), rows.doc_id == chosen.id, "left_semi").mapInArrow(sketched, "doc_id long, text string, group long").join(F.broadcast(chosen), F.col("doc_id") == chosen.id)
+    # One of each group of near copies: else words that only its members have look toxic.
+    one = own.groupBy("group").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("x")).select("x.text", F.when(F.col("x.toxic") > 0, 1).otherwise(0).alias("toxic"), F.pmod(F.xxhash64("group") + 1, F.lit(4)).cast("int").alias("part"))
+    return common.stored(one, "sample")
 
 
-def word_counts(sample: DataFrame) -> DataFrame:
-    """word, and the number of toxic and other documents that have it, and of its occurrences."""
+def part_counts(sample: DataFrame) -> DataFrame:
+    """feature and its occurrences in toxic and in other documents, at most MOST_A_DOCUMENT each."""
 
     def run(batches):
-        schema = pa.schema([("word", pa.binary()), ("toxic", pa.int64()), ("other", pa.int64())])
+        schema = pa.schema([("feature", pa.binary()), ("toxic", pa.int64()), ("other", pa.int64())])
         for batch in common.slices(batches, 4096):
             sums = (Counter(), Counter())
             for data, toxic in zip(common.bytes_of(batch.column(0)), batch.column(1).to_pylist()):
-                sums[1 - toxic].update(set(words(data)))
+                own = Counter(f for w in words(data) for f in parts(w))
+                sums[1 - toxic].update({f: min(n, MOST_A_DOCUMENT) for f, n in own.items()})
             every = list(sums[0] | sums[1])
-            yield common.batch_of(schema, word=every, toxic=[sums[0][w] for w in every], other=[sums[1][w] for w in every])
+            yield common.batch_of(schema, feature=every, toxic=[sums[0][w] for w in every], other=[sums[1][w] for w in every])
 
-    return sample.select("text", "toxic").mapInArrow(run, "word binary, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return sample.select("text", "toxic").mapInArrow(run, "feature binary, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
     rows = labelled_sample(docs, labels, sample)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
-    counts = common.stored(word_counts(rows.where("part < 3")), "words")
-    n1, n0 = (int(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("other")).first())
+    counts = common.stored(part_counts(rows.where("part < 3")), "parts")
+    whole = F.expr("substring(feature, length(feature), 1) = X'20'")
+    n1, n0 = (int(x or 0) for x in counts.where(whole).agg(F.sum("toxic"), F.sum("other")).first())
     if not n1 or not n0:
-        return Model({}, share=share)
+        return Model(Scores({}), share=share)
     prior = PRIOR * (n1 + n0)
     own = PRIOR * (F.col("toxic") + F.col("other"))
     odds = F.log((F.col("toxic") + own) / (n1 + prior)) - F.log((F.col("other") + own) / (n0 + prior))
     z = odds / F.sqrt(1 / (F.col("toxic") + own) + 1 / (F.col("other") + own))
-    best = counts.select("word", odds.alias("odds"), z.alias("z"), ((F.col("other") + own) / (n0 + prior)).alias("p")).where(f"z >= {LEAST_Z} and odds > {DRIFT}").orderBy(F.desc("z"), "word").limit(terms).collect()
-    model = Model({bytes(r["word"]): r["odds"] - DRIFT for r in best}, share=share)
+    best = counts.select("feature", odds.alias("odds"), z.alias("z")).where(f"z >= {LEAST_Z} and odds > {DRIFT}").orderBy(F.desc("z"), "feature").limit(terms).collect()
+    model = Model(Scores({bytes(r["feature"]): r["odds"] for r in best}), share=share)
     if not best:
         return model
-    s, p = np.array([r["odds"] - DRIFT for r in best]), np.array([r["p"] for r in best])
+
+    def scored(batches):
+        schema = pa.schema([("s", pa.float64()), ("n", pa.int64())])
+        for batch in common.slices(batches):
+            sums = Counter(v for t in common.bytes_of(batch.column(0)) for v in map(model.scores.__getitem__, words(t)))
+            yield common.batch_of(schema, s=list(sums), n=list(sums.values()))
+
+    # How often harmless words score what: at most as many values as the lexicon has entries.
+    seen = rows.where("part < 3 and toxic = 0").select("text").mapInArrow(scored, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    s, p = np.array([r["s"] or -DRIFT for r in seen]), np.array([r["n"] for r in seen], float)
+    p = (p + 0.5) / (p + 0.5).sum()
     low, high = 0.0, 50.0
     for _ in range(100):  # the positive root of sum p exp(rate s) = 1; the sum is under 1 just over 0
         rate = (low + high) / 2
-        total = (p * np.exp(np.minimum(rate * s, 700))).sum() + (1 - p.sum()) * math.exp(-rate * DRIFT)
-        low, high = (rate, high) if total < 1 else (low, rate)
-    model.rate = low or 1e-3
+        low, high = (rate, high) if (p * np.exp(np.minimum(rate * s, 700))).sum() < 1 else (low, rate)
+    model.rate = min(max(low, 0.05), 5.0)
+    floor = min(model.lexicon.values()) - DRIFT
 
     def measured(batches):
         schema = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("scores", pa.list_(pa.float64()))])
@@ -180,7 +238,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
 
     held = rows.where("part = 3").select("text", "toxic").mapInArrow(measured, "toxic int, n long, scores array<double>").collect()  # at most `sample` rows
     clean = [r for r in held if not r["toxic"]]
-    floor = float(s.min())
     reached = sum(x >= floor for r in clean for x in r["scores"])
     model.k = min(10.0, max(1e-6, (reached + 0.5) / (sum(r["n"] for r in clean) * math.exp(-model.rate * floor) + 1)))
     x = np.array([model.features(r["n"], [(v, 0, 0) for v in r["scores"]]) for r in held]).reshape(-1, 2)
