@@ -2,16 +2,16 @@
 
 Documents are tokenised and followed by a separator id; the stream of a partition is cut
 into sequences of at most LENGTH tokens. Cuts are allowed at document ends and sentence
-ends (and, where a sentence is longer than a quarter of a sequence, every sixteenth of a
-sequence in it). With
+ends, and, at a higher penalty, every STRIDE tokens inside a longer sentence. With
 ``best[j]`` the least cost of packing the first j tokens,
 
     best[j] = penalty(j) + min over i in [j - LENGTH, j) of best[i] + padding(j - i) + OPENING
 
-where padding(n) is LENGTH - n, or 0 if n is a power of two, and penalty(j) is 0 at a
+where padding(n) is LENGTH - n, or 0 if n is a power of two that counts, and penalty(j) is 0 at a
 document's end, SENTENCE at a sentence's end and MID elsewhere. As LENGTH - (j - i) is
 linear, the minimum is that of ``best[i] + i`` over a sliding window, kept in a monotone
-queue: linear time in the number of allowed cuts. The powers of two are tried one by one.
+queue: linear time in the number of allowed cuts. The powers of two are tried one by one, down
+to a quarter of a sequence: shorter ones would save padding by making more sequences.
 
 The stream is packed in blocks of BLOCK tokens; the last sequence of a block is carried
 into the next, so memory is bounded and only a partition's last sequence ends with it.
@@ -36,7 +36,11 @@ from pyspark.sql import DataFrame
 from millrace.llm import common
 
 LENGTH, BLOCK = 1024, 1 << 18
-SENTENCE, MID, OPENING = 4, 48, 16
+SENTENCE, MID, OPENING = 2, 6, 32
+#: Halvings of LENGTH at which a sequence may end without padding.
+LEAST_POWERS = 2
+#: A sentence longer than this many tokens may also be cut inside, every so many tokens.
+STRIDE = 12
 SPECIAL = "<|endoftext|>"
 #: Units whose ids a worker remembers.
 REMEMBERED = 400_000
@@ -97,8 +101,9 @@ def tokenizer(ranks_path: str, pattern: str, special_id: int) -> Tokenizer:
     return _tokenizers[key]
 
 
-def padding(n: int, length: int = LENGTH) -> int:
-    return 0 if n & (n - 1) == 0 else length - n
+def charged(n: int, length: int = LENGTH) -> int:
+    """Padding that a sequence of n tokens is charged."""
+    return 0 if n in [length >> k for k in range(LEAST_POWERS + 1)] else length - n
 
 
 def cuts(points: list[int], costs: list[int], length: int = LENGTH) -> list[int]:
@@ -108,7 +113,7 @@ def cuts(points: list[int], costs: list[int], length: int = LENGTH) -> list[int]
     n = len(points)
     best, back = [0.0] * n, [0] * n
     place = {p: i for i, p in enumerate(points)}
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+    powers = [length >> k for k in range(1, LEAST_POWERS + 1)]
     queue: deque[int] = deque([0])
     key = [0.0] * n
     for j in range(1, n):
@@ -140,10 +145,13 @@ def allowed(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, starts: np.
     sentence = np.flatnonzero(ends[ids[:-1]] & starts[ids[1:]]) + 1
     points = np.union1d(sentence, np.concatenate([[0], doc_ends]))
     points = points if points[-1] == len(ids) else np.append(points, len(ids))
-    step = max(1, length // 16)
-    gaps = np.flatnonzero(np.diff(points) > 4 * step)
-    if len(gaps):
-        points = np.union1d(points, np.concatenate([np.arange(points[g] + step, points[g + 1], step) for g in gaps]))
+    step = min(STRIDE, length)
+    gap = np.diff(points)
+    extra = (gap - 1) // step  # cuts inside each gap
+    if extra.any():
+        first = np.cumsum(extra) - extra
+        inside = np.repeat(points[:-1], extra) + step * (np.arange(extra.sum()) - np.repeat(first, extra) + 1)
+        points = np.sort(np.concatenate([points, inside]))
     cost = np.full(len(points), MID)
     cost[np.isin(points, sentence, assume_unique=True)] = SENTENCE
     cost[np.isin(points, doc_ends, assume_unique=True)] = 0

@@ -106,11 +106,12 @@ def crc(data: bytes | str) -> int:
 
 
 def best_packing(n: int, points: dict[int, int], length: int, opening: int) -> int:
-    """Least cost of cutting n tokens at points (place -> cost), by trying all."""
+    """Least cost of cutting n tokens at points (place -> cost), by trying all. A whole sequence,
+    half and a quarter of one are charged no padding."""
     best = {0: 0}
     for j in sorted(points):
         if j:
-            best[j] = min((best[i] + (0 if (j - i) & (j - i - 1) == 0 else length - (j - i)) for i in best if 0 < j - i <= length), default=10**9) + points[j] + opening
+            best[j] = min((best[i] + (0 if j - i in (length, length // 2, length // 4) else length - (j - i)) for i in best if 0 < j - i <= length), default=10**9) + points[j] + opening
     return best[n]
 
 

@@ -106,6 +106,8 @@ def test_packing(docs, data):
         assert p.offset == sequences.get(p.sequence_id, 0)
         sequences[p.sequence_id] = p.offset + p.length
     assert max(sequences.values()) <= 1024
+    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in sequences.values())
+    assert padding <= 0.01 * sum(sequences.values()) + 1023 * docs.rdd.getNumPartitions()
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -120,7 +122,7 @@ def test_packing_is_optimal(seed):
             points[at] = rng.choice([0, packing.SENTENCE, packing.MID])
     ordered = sorted(points)
     chosen = packing.cuts(ordered, [points[p] for p in ordered], length)
-    cost = sum(packing.padding(b - a, length) + points[b] + packing.OPENING for a, b in zip([0, *chosen], chosen))
+    cost = sum(packing.charged(b - a, length) + points[b] + packing.OPENING for a, b in zip([0, *chosen], chosen))
     assert chosen[-1] == n and all(0 < b - a <= length for a, b in zip([0, *chosen], chosen))
     assert cost == brute.best_packing(n, points, length, packing.OPENING)
 
