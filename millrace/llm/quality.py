@@ -145,3 +145,32 @@ def keep(docs: DataFrame) -> DataFrame:
     rows = docs.select(key.alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
     good = judged(measure(rows, ["doc_id", "lang", "source"])).where("kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.withColumn(name, key).join(good, name, "left_semi").drop(name)
+
+
+def sql() -> str:
+    """judge() in DuckDB's SQL, with the columns of the query."""
+    word = "[^\\x20\\x09-\\x0D]+"
+    measures = "\n    UNION ALL ".join(f"SELECT lang, source, {i} AS m, CASE WHEN {b} > 0 THEN {a} * 1000 // {b} ELSE 0 END AS v FROM good" for i, (_, a, b, _) in enumerate(MEASURES))
+    slack = " ".join(f"WHEN {i} THEN {m[3]}" for i, m in enumerate(MEASURES))
+    wide = ", ".join(f"max(fence) FILTER (m = {i}) AS f_{m[0]}" for i, m in enumerate(MEASURES))
+    picked = ", ".join(f"CASE WHEN o.total >= {LEAST_GROUP} THEN o.f_{m[0]} WHEN l.total >= {LEAST_GROUP} THEN l.f_{m[0]} ELSE a.f_{m[0]} END AS f_{m[0]}" for m in MEASURES)
+    within = " AND ".join(f"CASE WHEN {b} > 0 THEN {a} * 1000 // {b} ELSE 0 END <= f_{m}" for m, a, b, _ in MEASURES)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS i, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+    windows AS (SELECT i, s, count(*) OVER (PARTITION BY i, w[s], w[s + 1], w[s + 2]) AS n FROM (SELECT i, w, unnest(range(1, len(w) - 1)) AS s FROM d)),
+    hit AS (SELECT i, count(DISTINCT j) AS n_repeat_words FROM (SELECT i, unnest([s, s + 1, s + 2]) AS j FROM windows WHERE n > 1) GROUP BY i),
+    c AS (SELECT d.i, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(w, lambda x: strlen(x) > 3 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words,
+        length(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks FROM d LEFT JOIN hit ON hit.i = d.i),
+    counts AS (SELECT *, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM c),
+    good AS (SELECT * FROM counts WHERE NOT base_failed), measured AS ({measures}),
+    sketch AS (SELECT lang, source, m, (v >> greatest(length(bin(v)) - {BITS + 1}, 0)) << greatest(length(bin(v)) - {BITS + 1}, 0) AS bucket, count(*) AS n FROM measured GROUP BY ALL),
+    merged AS (SELECT 0 AS level, lang, source, m, bucket, n FROM sketch UNION ALL SELECT 1, lang, NULL, m, bucket, sum(n) FROM sketch GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, m, bucket, sum(n) FROM sketch GROUP BY ALL),
+    running AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY level, lang, source, m) AS total FROM merged),
+    quart AS (SELECT level, lang, source, m, any_value(total) AS total, min(bucket) FILTER (cum * 100 >= total * 50) AS q2, min(bucket) FILTER (cum * 100 >= total * 75) AS q3 FROM running GROUP BY ALL),
+    fences AS (SELECT *, q3 + {SPREAD} * (q3 - q2) + CASE m {slack} END AS fence FROM quart),
+    wide AS (SELECT level, lang, source, max(total) AS total, {wide} FROM fences GROUP BY ALL),
+    limits AS (SELECT o.lang, o.source, {picked} FROM (SELECT * FROM wide WHERE level = 0) o JOIN (SELECT * FROM wide WHERE level = 1) l ON o.lang IS NOT DISTINCT FROM l.lang, (SELECT * FROM wide WHERE level = 2) a)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({within}, false) AS kept, {", ".join(f"f_{m[0]}" for m in MEASURES)}
+    FROM counts LEFT JOIN limits ON counts.lang IS NOT DISTINCT FROM limits.lang AND counts.source IS NOT DISTINCT FROM limits.source"""

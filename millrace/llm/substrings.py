@@ -330,3 +330,14 @@ def removed(docs: DataFrame) -> DataFrame:
     out = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")), F.col("row")).select("doc_id", "text", "row", "__places")
     cut = out.mapInArrow(run, T.StructType([docs.schema["text"], out.schema["row"]]))
     return cut.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def sql() -> str:
+    """digest() in DuckDB's SQL, by the words of the windows themselves."""
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    windows AS (SELECT i, s, count(*) OVER (PARTITION BY array_to_string(w[s:s + {WINDOW - 1}], ' ')) AS n FROM (SELECT i, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM d)),
+    gone AS (SELECT DISTINCT i, unnest(range(s, s + {WINDOW})) AS j FROM windows WHERE n > 1),
+    words AS (SELECT i, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+    left_over AS (SELECT words.i, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY words.j) FILTER (gone.j IS NULL) AS kept FROM words LEFT JOIN gone ON gone.i = words.i AND gone.j = words.j GROUP BY words.i)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_over ON left_over.i = d.i"""
