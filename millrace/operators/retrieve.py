@@ -79,27 +79,30 @@ def title_weighted_topk(queries: DataFrame, corpus: DataFrame, titles: DataFrame
 
 
 def term_counts(docs: DataFrame, tokens: Column) -> DataFrame:
-    """(id, token, tf) of docs (id, text)."""
-    return docs.select("id", F.explode(tokens).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, created_at, len, token, tf) of docs (id, text, created_at): one tokenization, and no
+    join to get at a document's length."""
+    rows = docs.select("id", "created_at", tokens.alias("tokens")).select("id", "created_at", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
+    return rows.groupBy("id", "created_at", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_idf(terms: DataFrame, n_docs: DataFrame | int) -> DataFrame:
-    """(token, df, idf). Negative values become EPSILON times the mean raw idf of the vocabulary."""
+def bm25_idf(terms: DataFrame, n_docs: Column) -> DataFrame:
+    """(token, df, idf). Negative values become EPSILON times the mean raw idf of the vocabulary,
+    one number, taken as a scalar subquery."""
     df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = EPSILON * (raw.agg(F.avg("raw")).first()[0] or 0.0)  # one number for the whole vocabulary
-    return raw.select("token", "df", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
+    raw = df.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = EPSILON * raw.agg(F.avg("raw").alias("mean")).scalar()
+    return raw.select("token", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_postings(docs: DataFrame, tokens: Column) -> DataFrame:
     """(token, id, created_at, weight): the inverted index with its weights worked out. Statistics
     are those of the whole corpus, whatever a query's cutoff; empty documents count."""
-    stats = docs.select(F.size(tokens).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
+    n_docs = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    mean = docs.agg(F.avg(F.size(tokens)).alias("mean")).scalar()
     terms = term_counts(docs, tokens)
-    lengths = docs.select(F.col("id").alias("l_id"), F.size(tokens).alias("len"), "created_at")
-    idf = bm25_idf(terms, stats[0]).select(F.col("token").alias("i_token"), "idf")
-    norm = F.lit(K1) * (1 - B + B * F.col("len") / F.lit(stats[1] or 1.0))
-    return terms.join(lengths, terms.id == lengths.l_id).join(idf, terms.token == idf.i_token).select("token", "id", "created_at", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
+    idf = bm25_idf(terms, n_docs).select(F.col("token").alias("i_token"), "idf")
+    norm = F.lit(K1) * (1 - B + B * F.col("len") / mean)
+    return terms.join(idf, terms.token == idf.i_token).select("token", "id", "created_at", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
 
 
 def bm25_topk(queries: DataFrame, postings: DataFrame, tokens: Column, n: int) -> DataFrame:

@@ -101,7 +101,7 @@ def bm25(spark, sf, name: str, n: int = 10) -> DataFrame:
 @query(with_(*bm25_ctes(WORDS)) + "SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf):
     docs = A.texts(spark, sf)
-    return retrieve.bm25_idf(retrieve.term_counts(docs, T.tok_words(F.col("text"))), docs.count()).select("token", "df", F.round("idf", 6).alias("idf"))
+    return retrieve.bm25_idf(retrieve.term_counts(docs, T.tok_words(F.col("text"))), docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(bm25_sql(WORDS))
