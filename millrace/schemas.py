@@ -21,3 +21,13 @@ NODE = T.StructType([
     T.StructField("labels", T.StructType([T.StructField("nodes", T.ArrayType(T.StructType([T.StructField("name", T.StringType())])))])),
     T.StructField("comments", T.StructType([T.StructField("totalCount", T.IntegerType()), T.StructField("nodes", T.ArrayType(T.StructType([T.StructField("databaseId", T.LongType()), T.StructField("author", _ACTOR), T.StructField("body", T.StringType()), T.StructField("createdAt", T.StringType())])))])),
 ])
+
+TABLES = {"issues": ISSUES, "comments": COMMENTS, "issue_labels": ISSUE_LABELS, "fetch_state": FETCH_STATE, "embeddings": EMBEDDINGS}
+
+
+def create_tables(spark, database: str | None = None) -> None:
+    """Creates the tables that do not exist, as Parquet; embeddings by model. Running it again changes nothing."""
+    for name, schema in TABLES.items():
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL") for f in schema)
+        by = " PARTITIONED BY (model_name)" if name == "embeddings" else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {f'{database}.' if database else ''}{name} ({columns}) USING parquet{by}")

@@ -108,3 +108,19 @@ def text_export(issues: DataFrame, vectors: DataFrame, max_chars: int = 2000, cl
     """(n, t) of issues that have no vector yet and whose text is not blank."""
     todo = issues.join(vectors.select(F.col("id").alias("number")), "number", "left_anti")
     return todo.select(F.col("number").alias("n"), issue_text(F.col("title"), F.col("body"), max_chars, clean).alias("t")).where(F.length("t") > 0)
+
+
+def get_state(state: DataFrame, key: str) -> str | None:
+    """A value of a key-value table (k, v, updated_at)."""
+    row = state.where(F.col("k") == key).select("v").first()
+    return row["v"] if row else None
+
+
+def set_state(state: DataFrame, key: str, value: str | None) -> DataFrame:
+    fresh = state.sparkSession.range(1).select(F.lit(key).alias("k"), F.lit(value).cast("string").alias("v"), F.current_timestamp().alias("updated_at"))
+    return upsert(state, fresh, "k", "updated_at")
+
+
+def clamped(n: int, low: int = 1, high: int = 20) -> int:
+    """How many hits a live search may ask for."""
+    return max(low, min(high, n))
