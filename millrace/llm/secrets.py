@@ -7,6 +7,10 @@ into name-literal pairs, propagates constants through names (``x = "..."; passwo
 and scores each literal by how sensitive its target's name is. Literals that score at
 least THRESHOLD and lie in no base span are added as spans of kind ``lexed``.
 
+A name is at most LONGEST_NAME characters before its operator, and a constant that is joined from
+others passes on its first JOINED literals, so that folding stays linear; what a constant itself
+holds is always judged whole.
+
 Defined results: a null or empty text has no spans; repeated rows are scanned alike;
 texts of any length are scanned whole; other columns are not looked at.
 """
@@ -53,6 +57,8 @@ OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+*/%&|^~-])=(?![=>~])|(?<![:\w]:)(?<!:):
 NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`]?(?:\s?\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]]*[ \t]*)?$""")
 #: A name longer than this is prose, not a name.
 LONGEST_NAME = 160
+#: Literals that a joined constant passes on.
+JOINED = 64
 STRING = re.compile(
     r'''[rbfuRBFU]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)''',
     re.DOTALL,
@@ -139,7 +145,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
             value = list(literals)
             for other in names:
                 value += constants.get(other, [])
-            constants[name] = value[:64] if names and len(value) > 64 else value
+            constants[name] = value[: max(JOINED, len(literals))]
     flagged = set()
     for name, literals, names in found:
         weight = sensitivity(name)
