@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import ahocorasick
 import numpy as np
@@ -34,14 +35,58 @@ REMEMBERED = 400_000
 LIMIT = 1 << 62
 
 
+def classes(pattern: str):
+    """(splitter with the code points that tiktoken's own tables have in place of the pattern's
+    classes, search for code points that the regex library classes otherwise). Libraries follow
+    different versions of Unicode; a text without such a code point is split alike by both."""
+    import tiktoken
+
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    own, other = {}, set()
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        if name not in pattern:
+            continue
+        # encode_ordinary() drops what its pattern doesn't match
+        probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        found = set(probe.decode_bytes(probe.encode_ordinary(everything)).decode())
+        other |= found ^ set(regex.findall(name, everything))
+        own[name] = ranges(found)
+    exact, depth, i = "", 0, 0
+    while i < len(pattern):
+        name = next((n for n in own if pattern.startswith(n, i)), None)
+        if name:
+            exact += own[name] if depth else f"[{own[name]}]"
+            i += len(name)
+        elif pattern.startswith(r"\S", i) and r"\s" in own and not depth:
+            exact += rf"[^{own[chr(92) + 's']}]"
+            i += 2
+        else:
+            step = 2 if pattern[i] == "\\" else 1
+            depth += {"[": 1, "]": -1}.get(pattern[i], 0)
+            exact += pattern[i : i + step]
+            i += step
+    return regex.compile(exact).findall, re.compile(f"[{ranges(other)}]" if other else r"(?!)").search
+
+
+def ranges(chars: set[str]) -> str:
+    """The inside of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
-        # White space as the Rust library has it
-        self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.pieces = regex.compile(pattern).findall
+        self.exact, self.odd = classes(pattern)
         self.split: list[tuple[int, int]] = [(-1, -1)] * len(self.tokens)
         self.pair: dict[tuple[int, int], int] = {}
         self.shorter = [-1] * len(self.tokens)
@@ -146,7 +191,7 @@ class Encoder:
     def ordinary(self, text: str) -> bytes:
         """Ids of any text, as little-endian unsigned 32-bit integers."""
         known, out = self.piece_ids, []
-        for piece in self.pieces(text):
+        for piece in self.exact(text) if self.odd(text) else self.pieces(text):
             got = known.get(piece)
             if got is None:
                 got = np.array(self.merged(piece.encode()), "<u4").tobytes()
