@@ -319,6 +319,9 @@ def test_bpe_on_random_text():
     for _ in range(600):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(80)))
         assert np.frombuffer(own.encode(t), "<u4").tolist() == enc.encode_ordinary(t), repr(t)
+    for _ in range(1500):  # any code points, unassigned ones too
+        t = "".join(chr(rng.choice([rng.randrange(0x20, 0x3000), rng.randrange(0x3000, 0xD7FF), rng.randrange(0xE000, 0x10FFFF)])) for _ in range(rng.randrange(20)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == enc.encode_ordinary(t), ascii(t)
     for t in ("a" * 5000, "ab" * 2000, "the" * 1000, "\n" * 300, " " * 300):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == enc.encode_ordinary(t)
         assert own.decode(own.encode(t)) == t.encode()
