@@ -82,3 +82,10 @@ def latency(samples: DataFrame, value: str = "value") -> DataFrame:
     n = rows.count()
     place = (int(0.95 * n) + 0.5) / max(n, 1)
     return rows.agg(F.round(F.percentile(value, 0.5), 1).alias("p50"), F.round(F.expr(f"percentile_disc({place}D) within group (order by {value})"), 1).alias("p95"), F.count(F.lit(1)).alias("n"))
+
+
+def formatted(name: str, row: dict) -> str:
+    """One line of a report, 4 decimals."""
+    recalls = " ".join(f"{k.replace('recall_', 'recall@')} {v:.4f}" for k, v in row.items() if k.startswith("recall_"))
+    latency_ = f"  p50 {row['p50']}ms" if row.get("p50") is not None else ""
+    return f"{name:<22} {recalls}  mrr {row['mrr']:.4f}  (n={row['n']}){latency_}"

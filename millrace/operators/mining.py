@@ -52,3 +52,11 @@ def hold_out(pairs: DataFrame, n: int = HOLD_OUT, seed: int = 0) -> DataFrame:
     """pairs with held_out true for n of them, chosen by a seeded hash."""
     chosen = pairs.select("duplicate", "canonical").orderBy(F.xxhash64("duplicate", "canonical", F.lit(seed)), "duplicate", "canonical").limit(n).withColumn("held_out", F.lit(True))
     return pairs.join(chosen, ["duplicate", "canonical"], "left_outer").na.fill(False, ["held_out"])
+
+
+def triplets(negatives: DataFrame, texts: DataFrame) -> DataFrame:
+    """(duplicate, canonical, negative, place, a, p, n): the texts of anchors, positives and negatives. texts: id, text."""
+    out = negatives
+    for key, name in (("duplicate", "a"), ("canonical", "p"), ("negative", "n")):
+        out = out.join(texts.select(F.col("id").alias(key), F.col("text").alias(name)), key)
+    return out.select("duplicate", "canonical", "negative", "place", "a", "p", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,3 +76,23 @@ def split(rows: DataFrame, test_fraction: float = TEST_FRACTION) -> DataFrame:
 def chained(pairs: DataFrame, marked: DataFrame) -> DataFrame:
     """How many canonicals are marked as duplicates themselves."""
     return pairs.join(marked.select(F.col("number").alias("canonical")), "canonical", "left_semi").agg(F.count(F.lit(1)).alias("chained_canonicals"))
+
+
+def pair_meta(rows: DataFrame, test_fraction: float = TEST_FRACTION) -> DataFrame:
+    """One row that describes a pair set: marked issues, the funnel, training and test pairs. rows: classified()."""
+    n = {s: F.count_if(F.col("status") == s).alias(s) for s in ("no_canonical_in_text", "canonical_not_in_corpus", "canonical_newer_than_query", "usable")}
+    out = rows.agg(F.count(F.lit(1)).alias("duplicate_marked"), *n.values())
+    train = F.floor(F.col("usable") * F.lit(1 - test_fraction)).cast("long")
+    return out.withColumn("train", train).withColumn("test", F.col("usable") - F.col("train"))
+
+
+def freeze(pairs: DataFrame, meta: DataFrame, path: str) -> None:
+    """Writes a pair set once; an existing one is not touched, so that a benchmark can't move silently."""
+    pairs.write.mode("errorifexists").json(f"{path}/pairs", compression="gzip")
+    meta.coalesce(1).write.mode("errorifexists").json(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """(duplicate, canonical) of a frozen set; split None gives all."""
+    rows = spark.read.schema("duplicate long, canonical long, pattern string, created_at timestamp_ntz, split string").json(f"{path}/pairs")
+    return (rows if split is None else rows.where(F.col("split") == split)).select("duplicate", "canonical")

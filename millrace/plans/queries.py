@@ -214,6 +214,14 @@ def chained_count(spark, sf):
     return pairs.chained(rows.where("status = 'usable'"), marked)
 
 
+META = "count(*) AS duplicate_marked, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("no_canonical_in_text", "canonical_not_in_corpus", "canonical_newer_than_query", "usable"))
+
+
+@query(PAIR_CTES + f"SELECT *, floor(usable * 0.8::DOUBLE)::BIGINT AS train, usable - floor(usable * 0.8::DOUBLE)::BIGINT AS test FROM (SELECT {META} FROM classified)")
+def pair_meta(spark, sf):
+    return pairs.pair_meta(classified(spark, sf)[0])
+
+
 # ---- evaluation
 
 def placed(hits: str, depth: int = 10) -> str:
@@ -342,6 +350,12 @@ def hard_negatives(spark, sf):
     return mining.hard_negatives(truth, truth, A.vectors(spark, sf), A.texts(spark, sf).select("id", "text"))
 
 
+@query("WITH neg AS (" + SQL["hard_negatives"] + "), " + ", ".join((A.ISSUES, A.TEXTS)) + " SELECT duplicate, canonical, negative, place, md5(a.text || chr(10) || p.text || chr(10) || n.text) AS texts_md5 FROM neg JOIN texts a ON a.id = duplicate JOIN texts p ON p.id = canonical JOIN texts n ON n.id = negative")
+def triplets(spark, sf):
+    out = mining.triplets(hard_negatives(spark, sf), A.texts(spark, sf).select("id", "text"))
+    return out.select("duplicate", "canonical", "negative", "place", F.md5(F.concat_ws("\n", "a", "p", "n")).alias("texts_md5"))
+
+
 @query(with_(A.ISSUES, A.TEXTS, A.VECTORS, A.QUERIES, f"hits AS ({dense(50)})") + "SELECT t.id AS q, substr(t.text, 1, 500) AS qt, coalesce(array_to_string(list(candidate_id ORDER BY rank) FILTER (candidate_id IS NOT NULL), ','), '') AS c FROM texts t JOIN queries q ON q.query_id = t.id LEFT JOIN hits h ON h.query_id = t.id GROUP BY t.id, t.text")
 def rerank_task(spark, sf):
     asked = A.vector_queries(spark, sf)
@@ -350,6 +364,12 @@ def rerank_task(spark, sf):
     return mining.rerank_task(hits, texts).select("q", "qt", F.array_join(F.col("c").cast("array<string>"), ",").alias("c"))
 
 
+@query(with_(A.ISSUES, A.TEXTS, A.VECTORS, A.QUERIES, f"hits AS ({dense(50)})") + "SELECT id, md5(text) AS text_md5 FROM texts WHERE id IN (SELECT candidate_id FROM hits)")
+def rerank_task_texts(spark, sf):
+    hits = retrieve.dense_topk(A.vector_queries(spark, sf), A.vectors(spark, sf), 50)
+    return mining.task_texts(hits, A.texts(spark, sf).select("id", "text")).select("id", F.md5("text").alias("text_md5"))
+
+
 @query()
 def hold_out(spark, sf):
     return mining.hold_out(A.text_pairs(spark, sf), 20)

@@ -124,3 +124,18 @@ def set_state(state: DataFrame, key: str, value: str | None) -> DataFrame:
 def clamped(n: int, low: int = 1, high: int = 20) -> int:
     """How many hits a live search may ask for."""
     return max(low, min(high, n))
+
+
+def read_vectors(spark: SparkSession, path: str, model: str | None = None, dim: int | None = None) -> DataFrame:
+    """(id, vec) of one model's partition. With dim, a vector of another length fails the read."""
+    v = spark.read.parquet(path)
+    v = v if model is None else v.where(F.col("model_name") == model)
+    vec = F.col("vec") if dim is None else F.when(F.size("vec") == dim, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit("vector of length "), F.size("vec").cast("string"))))
+    return v.select(F.col("issue_number").alias("id"), vec.alias("vec"))
+
+
+def window_counts(nodes: DataFrame, start: str = CORPUS_START) -> DataFrame:
+    """Nodes inside the corpus window, before it, and without a number."""
+    made = naive_utc(F.col("createdAt"))
+    bound = F.lit(start).cast("timestamp_ntz")
+    return nodes.agg(F.count_if(F.col("number").isNotNull() & (made >= bound)).alias("inside"), F.count_if(F.col("number").isNotNull() & (made < bound)).alias("before"), F.count_if(F.col("number").isNull()).alias("empty"))

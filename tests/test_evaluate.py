@@ -58,3 +58,8 @@ def test_label_metrics(spark):
     pred = spark.createDataFrame([(1, "a"), (1, "z"), (2, "y"), (3, "a"), (9, "a")], "query_id long, label string")
     r = labels.label_metrics(pred, gold).first()
     assert (r.issues_scored, r.precision, r.recall, r.f1, r.any_correct) == (3, 0.3333, 0.25, 0.2857, 0.3333)
+
+
+def test_formatted():
+    line = evaluate.formatted("dense", {"recall_1": 0.123, "recall_10": 0.27777, "mrr": 0.1627, "n": 504, "p50": 32.1})
+    assert line == "dense                  recall@1 0.1230 recall@10 0.2778  mrr 0.1627  (n=504)  p50 32.1ms"

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace import schemas
@@ -31,6 +32,11 @@ def test_nodes_to_tables(spark, tmp_path):
     assert tracker.labels_from(cut).where("issue_number = 3").count() == 30 and tracker.labels_from(cut).where("issue_number = 1").count() == 2
 
 
+def test_window_counts(spark, tmp_path):
+    nodes = tracker.read_nodes(spark, landed(tmp_path / "a.json", node(1), node(2, created="2023-05-01T00:00:00Z"), {"title": "none"}))
+    assert tuple(tracker.window_counts(nodes).first()) == (1, 1, 1)
+
+
 def test_upsert_and_labels(spark):
     schema = "number long, title string, created_at int, updated_at int"
     stored = spark.createDataFrame([(1, "a", 1, 5), (2, "b", 2, 5)], schema)
@@ -66,6 +72,9 @@ def test_sinks(spark, tmp_path):
     tracker.write_vectors(v, f"{tmp_path}/v")
     tracker.write_vectors(v.where("model_name = 'm'").withColumn("issue_number", F.lit(9).cast("long")), f"{tmp_path}/v")
     assert sorted((r.issue_number, r.model_name) for r in spark.read.parquet(f"{tmp_path}/v").collect()) == [(2, "n"), (9, "m")]
+    assert tracker.read_vectors(spark, f"{tmp_path}/v", "n", 1).collect() == [(2, [2.0])]
+    with pytest.raises(Exception, match="vector of length 1"):
+        tracker.read_vectors(spark, f"{tmp_path}/v", "n", 384).collect()
     tracker.write_lines(v, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").count() == 2
     issues = spark.createDataFrame([(1, "t", "body", "OPEN", None, "u", T0), (2, "s", None, "OPEN", None, "u", T0)], "number long, title string, body string, state string, state_reason string, url string, created_at timestamp_ntz")

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from millrace.operators import pairs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -48,3 +50,13 @@ def test_funnel_and_split(spark):
     split = {r.duplicate: r.split for r in pairs.split(rows).collect()}
     assert split == {1: "train", 2: "train", 11: "train", 13: "train", 15: "test"}
     assert pairs.chained(pairs.split(rows), marked).first()[0] == 3
+
+
+def test_frozen_pairs(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "dup_of", at(1), "train"), (2, 0, "dup_of", at(2), "test")], "duplicate long, canonical long, pattern string, created_at timestamp_ntz, split string")
+    meta = spark.createDataFrame([(2,)], "duplicate_marked long")
+    pairs.freeze(df, meta, f"{tmp_path}/p")
+    assert pairs.load(spark, f"{tmp_path}/p").count() == 2
+    assert [tuple(r) for r in pairs.load(spark, f"{tmp_path}/p", "test").collect()] == [(2, 0)]
+    with pytest.raises(Exception, match="already exists"):
+        pairs.freeze(df, meta, f"{tmp_path}/p")
