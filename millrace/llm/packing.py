@@ -24,7 +24,6 @@ alike, each once; a document of any length is cut into pieces; an empty table gi
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections import deque
 
@@ -34,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from millrace.llm import common
+from millrace.llm.pieces import MIXED_SPACE, Remembered, classes
 
 LENGTH, BLOCK = 1024, 1 << 18
 SENTENCE, MID, OPENING = 2, 6, 32
@@ -44,6 +44,8 @@ STRIDE = 12
 SPECIAL = "<|endoftext|>"
 #: Units whose ids a worker remembers.
 REMEMBERED = 400_000
+#: Characters from which a text is split outside the library.
+LONG = 50_000
 
 
 class Tokenizer:
@@ -56,40 +58,32 @@ class Tokenizer:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding("millrace", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: special_id})
-        self.units: dict[str, bytes] = {}
+        self.core = tiktoken.Encoding("millrace", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special, self.pattern, self.exact = np.array([special_id], "<u4").tobytes(), pattern, None
+        self.units = Remembered(lambda unit: self.whole(" " + unit), REMEMBERED)
         ends = [x.rstrip(b" \n\r\t")[-1:] in (b".", b"!", b"?") or x[-1:] == b"\n" for x in sorted(ranks, key=ranks.get)]
         starts = [x[:1] in (b" ", b"\n") for x in sorted(ranks, key=ranks.get)]
         self.ends, self.starts = np.array(ends + [False]), np.array(starts + [True])
 
+    def ordinary(self, text: str) -> bytes:
+        if len(text) <= LONG:
+            return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
+        # The library's matcher may run out of stack in a very long piece; its merges don't.
+        if self.exact is None:
+            self.exact, _ = classes(self.pattern)
+        return b"".join(np.array(self.core._encode_single_piece(x), "<u4").tobytes() for x in self.exact(text))
+
     def whole(self, text: str) -> bytes:
-        ids = self.core.encode(text, allowed_special="all") if SPECIAL in text else self.core.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+        return self.special.join(map(self.ordinary, text.split(SPECIAL)))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if SPECIAL in text or MIXED_SPACE.search(text):
             return self.whole(text)
         head, *rest = text.split(" ")
-        units, out = self.units, []
-        try:
-            out = [units[x] for x in rest]
-        except KeyError:
-            if len(units) > REMEMBERED:
-                units.clear()
-            out = []
-            for x in rest:
-                got = units.get(x)
-                if got is None:
-                    got = self.whole(" " + x)
-                    if len(x) < 64:
-                        units[x] = got
-                out.append(got)
-        return self.whole(head) + b"".join(out)
-
-
-#: White space in which the pattern could join a unit to the next: a space beside other white space, or at an end.
-MIXED_SPACE = re.compile(r"\s |[ ](?:\s|$)|^ ")
+        return self.whole(head) + b"".join(map(self.units.__getitem__, rest))
+
+
 _tokenizers: dict[tuple, Tokenizer] = {}
 
 
