@@ -127,6 +127,19 @@ def test_packing_is_optimal(seed):
     assert cost == brute.best_packing(n, points, length, packing.OPENING)
 
 
+def test_packing_tokens_of_long_and_odd_texts():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")[0]), packing.tokenizer(*vocabulary(PACKING_RANKS), END_OF_TEXT)
+    rng = random.Random(6)
+    alphabet = ["a", "ing", "the", " ", "  ", "\n", "\t", ".", "'s", "1", "½", "é", "中", "😀", "\u00a0", "\x1c", "\x85", "_", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["".join(rng.choice(alphabet) for _ in range(30000)), "a" * 60000, "word " * 12000 + " \n x"]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t[:80])
+    assert len(own.encode(" " * 2_000_000)) > 0  # longer than the library's matcher can take
+
+
 def test_packing_blocks():
     """Small blocks carry their last sequence on; nothing is lost and order stays."""
     tok = packing.tokenizer(*vocabulary(PACKING_RANKS), END_OF_TEXT)
