@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -28,55 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 
 from millrace.llm import common
-from millrace.llm.packing import MIXED_SPACE
+from millrace.llm.pieces import MIXED_SPACE, Remembered, classes
 
-#: Units, pieces and pairs that a worker remembers.
-REMEMBERED = 400_000
+#: Units, pieces and pairs of tokens that a worker remembers.
+UNITS, PIECES, PAIRS = 250_000, 400_000, 500_000
 LIMIT = 1 << 62
 
 
-def classes(pattern: str):
-    """(splitter with the code points that tiktoken's own tables have in place of the pattern's
-    classes, search for code points that the regex library classes otherwise). Libraries follow
-    different versions of Unicode; a text without such a code point is split alike by both."""
-    import tiktoken
-
-    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    own, other = {}, set()
-    for name in (r"\p{L}", r"\p{N}", r"\s"):
-        if name not in pattern:
-            continue
-        # encode_ordinary() drops what its pattern doesn't match
-        probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        found = set(probe.decode_bytes(probe.encode_ordinary(everything)).decode())
-        other |= found ^ set(regex.findall(name, everything))
-        own[name] = ranges(found)
-    exact, depth, i = "", 0, 0
-    while i < len(pattern):
-        name = next((n for n in own if pattern.startswith(n, i)), None)
-        if name:
-            exact += own[name] if depth else f"[{own[name]}]"
-            i += len(name)
-        elif pattern.startswith(r"\S", i) and r"\s" in own and not depth:
-            exact += rf"[^{own[chr(92) + 's']}]"
-            i += 2
-        else:
-            step = 2 if pattern[i] == "\\" else 1
-            depth += {"[": 1, "]": -1}.get(pattern[i], 0)
-            exact += pattern[i : i + step]
-            i += step
-    return regex.compile(exact).findall, re.compile(f"[{ranges(other)}]" if other else r"(?!)").search
-
-
-def ranges(chars: set[str]) -> str:
-    """The inside of a character class."""
-    out: list[list[int]] = []
-    for c in sorted(map(ord, chars)):
-        if out and out[-1][1] == c - 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
@@ -86,19 +46,19 @@ class Encoder:
         for token, i in ranks.items():
             self.tokens[i] = token
         self.pieces = regex.compile(pattern).findall
-        self.exact, self.odd = classes(pattern)
+        self.exact, self.odd, self.first_odd = classes(pattern)
         self.split: list[tuple[int, int]] = [(-1, -1)] * len(self.tokens)
         self.pair: dict[tuple[int, int], int] = {}
         self.shorter = [-1] * len(self.tokens)
-        self.known: dict[tuple[int, int], bool] = {}
-        self.piece_ids: dict[str, bytes] = {}
-        self.unit_ids: dict[str, bytes] = {}
+        self.fits = Remembered(lambda pair: self.compatible(*pair), PAIRS)
+        self.sizes = list(map(len, self.tokens))
+        self.piece_ids = Remembered(lambda piece: packed(self.merged(piece.encode())), PIECES)
+        self.unit_ids = Remembered(lambda unit: self.ordinary(" " + unit), UNITS)
         self.automaton = ahocorasick.Automaton()
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if self.learn(token, i):
-                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+                self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.known.clear()
 
     def learn(self, token: bytes, i: int) -> bool:
         """Finds the two tokens that i is merged from; False if merging never gives i."""
@@ -147,60 +107,33 @@ class Encoder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        longest, width = [-1] * n, [0] * n
-        for end, (i, size) in self.automaton.iter(piece.decode("latin-1")):
-            if size > width[end - size + 1]:
-                width[end - size + 1], longest[end - size + 1] = size, i
-        tokens, known, out, at, dead = self.tokens, self.known, [], 0, bytearray(n + 1)
-        token = longest[0]
+        n, fits = len(piece), self.fits
+        longest, sizes = [-1] * n, self.sizes
+        for end, i in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - sizes[i] + 1] = i  # of those that begin at one byte, the longest ends last
+        out, at, dead = [], 0, bytearray(n + 1)
+        token, last = longest[0], -1
         while True:
-            last = out[-1] if out else -1
-            while True:
-                end = at + len(tokens[token])
-                if not dead[end]:
-                    if last < 0:
-                        break
-                    fits = known.get((last, token))
-                    if fits is None:
-                        if len(known) > REMEMBERED:
-                            known.clear()
-                        fits = known[last, token] = self.compatible(last, token)
-                    if fits:
-                        break
-                token = self.prefix(token)
-                if token < 0:
+            while token >= 0:
+                end = at + sizes[token]
+                if not dead[end] and (last < 0 or fits[last, token]):
                     break
+                token = self.prefix(token)
             if token >= 0:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = longest[at]
+                at, last, token = end, token, longest[end]
             else:  # nothing fits here: never come back, and shorten the token before
                 dead[at] = 1
                 token = out.pop()
-                at -= len(tokens[token])
+                at -= sizes[token]
+                last = out[-1] if out else -1
                 token = self.prefix(token)
-                while token < 0:
-                    dead[at] = 1
-                    token = out.pop()
-                    at -= len(tokens[token])
-                    token = self.prefix(token)
 
     def ordinary(self, text: str) -> bytes:
         """Ids of any text, as little-endian unsigned 32-bit integers."""
-        known, out = self.piece_ids, []
-        for piece in self.exact(text) if self.odd(text) else self.pieces(text):
-            got = known.get(piece)
-            if got is None:
-                got = np.array(self.merged(piece.encode()), "<u4").tobytes()
-                if len(piece) < 64:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[piece] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.piece_ids.__getitem__, self.exact(text) if text and max(text) >= self.first_odd and self.odd(text) else self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -208,20 +141,7 @@ class Encoder:
         if MIXED_SPACE.search(text):
             return self.ordinary(text)
         head, *rest = text.split(" ")
-        units, out = self.unit_ids, [self.ordinary(head)]
-        try:
-            out += [units[x] for x in rest]
-        except KeyError:
-            if len(units) > REMEMBERED:
-                units.clear()
-            for x in rest:
-                got = units.get(x)
-                if got is None:
-                    got = self.ordinary(" " + x)
-                    if len(x) < 64:
-                        units[x] = got
-                out.append(got)
-        return b"".join(out)
+        return self.ordinary(head) + b"".join(map(self.unit_ids.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

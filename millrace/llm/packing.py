@@ -70,7 +70,7 @@ class Tokenizer:
             return np.array(self.core.encode_ordinary(text), "<u4").tobytes()
         # The library's matcher may run out of stack in a very long piece; its merges don't.
         if self.exact is None:
-            self.exact, _ = classes(self.pattern)
+            self.exact, *_ = classes(self.pattern)
         return b"".join(np.array(self.core._encode_single_piece(x), "<u4").tobytes() for x in self.exact(text))
 
     def whole(self, text: str) -> bytes:

@@ -12,7 +12,7 @@ MIXED_SPACE = re.compile(r"\s |[ ](?:\s|$)|^ ")
 
 def classes(pattern: str):
     """(splitter with the code points that tiktoken's own tables have in place of the pattern's
-    classes, search for code points that the regex library classes otherwise). Libraries follow
+    classes, search for code points that the regex library classes otherwise, the first of those). Libraries follow
     different versions of Unicode; a text without such a code point is split alike by both."""
     import tiktoken
 
@@ -40,7 +40,7 @@ def classes(pattern: str):
             depth += {"[": 1, "]": -1}.get(pattern[i], 0)
             exact += pattern[i : i + step]
             i += step
-    return regex.compile(exact).findall, re.compile(f"[{ranges(other)}]" if other else r"(?!)").search
+    return regex.compile(exact).findall, re.compile(f"[{ranges(other)}]" if other else r"(?!)").search, min(other, default="\U0010ffff")
 
 
 def ranges(chars: set[str]) -> str:
