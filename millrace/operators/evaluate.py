@@ -38,7 +38,7 @@ def random_hits(pairs: DataFrame, corpus: DataFrame, n: int, seed: int = 0) -> D
     """n earlier rows for each query by a seeded hash, without pairing the tables: a row's place is
     its count of earlier rows, and places are drawn. corpus: id, created_at in the order of ids 0 to N - 1."""
     draws = pairs.select(F.col("duplicate").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank")).where("query_id > 0")
-    drawn = draws.withColumn("candidate_id", F.pmod(F.xxhash64("query_id", "rank", F.lit(seed)), F.col("query_id")))
+    drawn = draws.withColumn("candidate_id", F.conv(F.substring(F.md5(F.concat_ws(":", "query_id", "rank", F.lit(seed))), 1, 12), 16, 10).cast("long") % F.col("query_id"))
     return drawn.join(corpus.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi").select("query_id", "candidate_id", F.lit(0.0).alias("score"), "rank")
 
 

@@ -50,7 +50,7 @@ def task_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
 
 def hold_out(pairs: DataFrame, n: int = HOLD_OUT, seed: int = 0) -> DataFrame:
     """pairs with held_out true for n of them, chosen by a seeded hash."""
-    chosen = pairs.select("duplicate", "canonical").orderBy(F.xxhash64("duplicate", "canonical", F.lit(seed)), "duplicate", "canonical").limit(n).withColumn("held_out", F.lit(True))
+    chosen = pairs.select("duplicate", "canonical").orderBy(F.md5(F.concat_ws(":", "duplicate", "canonical", F.lit(seed))), "duplicate", "canonical").limit(n).withColumn("held_out", F.lit(True))
     return pairs.join(chosen, ["duplicate", "canonical"], "left_outer").na.fill(False, ["held_out"])
 
 

@@ -248,7 +248,7 @@ def eval_oracle(spark, sf):
     return evaluate.metrics(evaluate.canonical_ranks(evaluate.oracle_hits(truth), truth, known(spark, sf), 10))
 
 
-@query()
+@query(with_(A.VECTORS, A.PAIRS, "hits AS (SELECT duplicate AS query_id, r AS rank, ('0x' || substr(md5(duplicate || ':' || r || ':0'), 1, 12))::BIGINT % duplicate AS candidate_id FROM pairs, range(1, 11) t(r) WHERE duplicate > 0)", f"places AS ({placed('hits')})") + f"SELECT {METRICS} FROM places")
 def eval_random(spark, sf):
     truth = A.vector_pairs(spark, sf)
     return evaluate.metrics(evaluate.canonical_ranks(evaluate.random_hits(truth, A.vectors(spark, sf), 10), truth, known(spark, sf), 10))
@@ -370,7 +370,7 @@ def rerank_task_texts(spark, sf):
     return mining.task_texts(hits, A.texts(spark, sf).select("id", "text")).select("id", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(with_(A.TEXT_PAIRS) + "SELECT duplicate, canonical, row_number() OVER (ORDER BY md5(duplicate || ':' || canonical || ':0'), duplicate, canonical) <= 20 AS held_out FROM text_pairs")
 def hold_out(spark, sf):
     return mining.hold_out(A.text_pairs(spark, sf), 20)
 
