@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": quality.sql(), "op4_substrings": substrings.sql(), "op10_urls": urlfilter.sql()}
+    return {"op2_quality": quality.sql(), "op4_substrings": substrings.sql(), "op7_sharding": sharding.sql(), "op10_urls": urlfilter.sql()}

@@ -29,7 +29,8 @@ SLOTS, SHARDS = 4096, 16
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual slot of each row; one scan, no exchange."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int").alias("virtual_slot"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text")), 1, 8), 16, 10).cast("long") % slots
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), place.cast("int").alias("virtual_slot"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -66,3 +67,21 @@ def placed(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFra
     return rows.withColumn("place", place).join(F.broadcast(table), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version",
     )
+
+
+def sql(shards: int = SHARDS, slots: int = SLOTS) -> str:
+    """placed() in DuckDB's SQL: CRC by its table of 256 remainders, worked out from the polynomial, and the same fold."""
+    to = "CASE WHEN a.loads[x.shard + 1] + x.bytes <= x.room THEN x.shard ELSE list_position(a.loads, list_min(a.loads)) - 1 END"
+    return f"""
+    WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    d AS (SELECT doc_id, coalesce(text, '') AS s, ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, text)), 1, 8))::BIGINT % {slots} AS virtual_slot FROM documents),
+    sized AS (SELECT doc_id, strlen(s) + 1 AS size, virtual_slot, xor(list_reduce(list_concat([4294967295], list_transform(range(1, 2 * strlen(s), 2), lambda i: ('0x' || substr(hex(encode(s)), i, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32 FROM d, tab),
+    slots AS (SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n, virtual_slot % {shards} AS shard FROM sized GROUP BY virtual_slot),
+    ordered AS (SELECT list(struct_pack(virtual_slot := virtual_slot, bytes := bytes, shard := shard, room := room) ORDER BY bytes DESC, virtual_slot DESC) AS s FROM slots, (SELECT ceil(sum(bytes) / {shards})::BIGINT AS room FROM slots)),
+    folded AS (SELECT list_reduce(s, lambda a, x: struct_pack(loads := list_transform(a.loads, lambda l, i: CASE WHEN i - 1 = {to} THEN l + x.bytes ELSE l END), map := list_append(a.map, struct_pack(virtual_slot := x.virtual_slot, shard := ({to})::BIGINT))),
+        struct_pack(loads := list_transform(range({shards}), lambda i: 0::BIGINT), map := []::STRUCT(virtual_slot BIGINT, shard BIGINT)[])) AS f FROM ordered),
+    kept AS (SELECT m.virtual_slot, m.shard FROM (SELECT unnest(f.map) AS m FROM folded)),
+    placed AS (SELECT virtual_slot, kept.shard, coalesce(sum(n) OVER (PARTITION BY kept.shard ORDER BY virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM kept JOIN slots USING (virtual_slot))
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, before + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INTEGER AS grown_shard, virtual_slot, 1 AS version
+    FROM sized JOIN placed USING (virtual_slot)"""
