@@ -37,8 +37,6 @@ from millrace.llm.pieces import MIXED_SPACE, Remembered, classes
 
 LENGTH, BLOCK = 1024, 1 << 18
 SENTENCE, MID, OPENING = 2, 6, 32
-#: Halvings of LENGTH at which a sequence may end without padding.
-LEAST_POWERS = 2
 #: A sentence longer than this many tokens may also be cut inside, every so many tokens.
 STRIDE = 12
 SPECIAL = "<|endoftext|>"
@@ -97,31 +95,36 @@ def tokenizer(ranks_path: str, pattern: str, special_id: int) -> Tokenizer:
 
 def charged(n: int, length: int = LENGTH) -> int:
     """Padding that a sequence of n tokens is charged."""
-    return 0 if n in [length >> k for k in range(LEAST_POWERS + 1)] else length - n
+    return 0 if n in (length, length >> 1, length >> 2) else length - n
 
 
 def cuts(points: list[int], costs: list[int], length: int = LENGTH) -> list[int]:
     """The chosen cut places, ascending, the last being points[-1].
 
     points: allowed places, ascending, from 0, no gap over length; costs: what a cut there costs."""
-    n = len(points)
-    best, back = [0.0] * n, [0] * n
-    place = {p: i for i, p in enumerate(points)}
-    powers = [length >> k for k in range(1, LEAST_POWERS + 1)]
+    n, half, quarter = len(points), length >> 1, length >> 2
+    places = np.full(points[-1] + 1, -1)
+    places[points] = np.arange(n)
+    place, charge = places.tolist(), [c + OPENING for c in costs]
+    best, back, key = [0] * n, [0] * n, [0] * n  # key: best plus place
     queue: deque[int] = deque([0])
-    key = [0.0] * n
     for j in range(1, n):
         at = points[j]
         low = at - length
-        while points[queue[0]] < low:
+        source = queue[0]
+        while points[source] < low:
             queue.popleft()
-        i = queue[0]
-        least, source = key[i] + length - at, i
-        for p in powers:
-            i = place.get(at - p, -1)
+            source = queue[0]
+        least = key[source] - low
+        if at >= half:
+            i = place[at - half]
             if i >= 0 and best[i] < least:
                 least, source = best[i], i
-        best[j] = least = least + costs[j] + OPENING
+        if at >= quarter:
+            i = place[at - quarter]
+            if i >= 0 and best[i] < least:
+                least, source = best[i], i
+        best[j] = least = least + charge[j]
         back[j] = source
         key[j] = mine = least + at
         while queue and key[queue[-1]] >= mine:
