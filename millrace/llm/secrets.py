@@ -95,8 +95,8 @@ def strength(value: str) -> float:
     return min(1.0, entropy / 3.0) * (1.0 if classes >= 2 else 0.6)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """(target name, literals as (value, start, end), names referred to) for each assignment."""
+def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """(target name, literals, names referred to), both as (value, start, end), for each assignment."""
     after = 0
     for op in OPERATOR.finditer(text):
         if op.start() < after:  # inside a literal that was read already
@@ -114,7 +114,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str
                 group = m.lastgroup
                 literals.append((m[group], m.start(group), m.end(group)))
             elif (m := REFERENCE.match(text, at)) and not colon:
-                names.append(m[0])
+                names.append((m[0], m.start(), m.end()))
                 if not literals and len(names) == 1 and (b := BARE.match(text, at)) and b.end() > m.end():
                     names, m = [], b  # a bare value such as KEY=abc/def
                     literals.append((m[0], m.start(), m.end()))
@@ -137,6 +137,9 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     if "=" not in text and ":" not in text:
         return []
     found = list(pairs(text))
+    defined = {name for name, _, _ in found}
+    # a lone name that the text does not define is a bare value, as in KEY=abc123
+    found = [(name, names, []) if not literals and len(names) == 1 and names[0][0] not in defined else (name, literals, [x for x, _, _ in names]) for name, literals, names in found]
     if not any(sensitivity(name) for name, _, _ in found):
         return []
     constants: dict[str, list[tuple[str, int, int]]] = {}

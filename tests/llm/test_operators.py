@@ -39,6 +39,16 @@ def test_lexed_literals(text, literals):
     assert [text[a:b] for a, b in secrets.lexed_spans(text)] == literals
 
 
+@pytest.mark.parametrize("text, literals", [
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCY\nDB_PWD=Tr0ub4dor3x\n", ["wJalrXUtnFEMIK7MDENGbPxRfiCY", "Tr0ub4dor3x"]),
+    ("[db]\npwd = Tr0ub4dor3x", ["Tr0ub4dor3x"]),
+    ('Tr0ub4dor3x = "k1"\nDB_PWD = Tr0ub4dor3x', []),  # a name that is defined
+    ("auth_key = something_else\npwd = prefix99abc + other", []),  # no digits; a sum of names is no bare value
+])
+def test_bare_literals(text, literals):
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == literals
+
+
 def test_base_spans_stay_and_redaction():
     text = 'token = "0123456789abcdef0123456789abcdef"\npwd = "Tr0ub4dor&3"'
     spans = secrets.all_spans(text)
