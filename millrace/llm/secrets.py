@@ -7,9 +7,11 @@ into name-literal pairs, propagates constants through names (``x = "..."; passwo
 and scores each literal by how sensitive its target's name is. Literals that score at
 least THRESHOLD and lie in no base span are added as spans of kind ``lexed``.
 
-A name is at most LONGEST_NAME characters before its operator, and a constant that is joined from
-others passes on its first JOINED literals, so that folding stays linear; what a constant itself
-holds is always judged whole.
+A name is at most LONGEST_NAME characters before its operator. Every assignment to a name is a
+definition of its own. A plain reference stands for each definition of its name in turn; in a joined
+value a reference stands for the nearest definition above (the first one below if there is none), and
+its other definitions take that place one at a time. Whatever a sensitive target reaches through names, at any
+depth and in any order, is also judged as a value of its own.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned alike;
 texts of any length are scanned whole; other columns are not looked at.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -57,8 +60,6 @@ OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+*/%&|^~-])=(?![=>~])|(?<![:\w]:)(?<!:):
 NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`]?(?:\s?\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]]*[ \t]*)?$""")
 #: A name longer than this is prose, not a name.
 LONGEST_NAME = 160
-#: Literals that a joined constant passes on.
-JOINED = 64
 STRING = re.compile(
     r'''[rbfuRBFU]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)''',
     re.DOTALL,
@@ -108,12 +109,11 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tup
         at, literals, names = op.end(), [], []
         while at < len(text) and text[at] in " \t":
             at += 1
-        colon = op.group() == ":"
         while True:
             if m := STRING.match(text, at):
                 group = m.lastgroup
                 literals.append((m[group], m.start(group), m.end(group)))
-            elif (m := REFERENCE.match(text, at)) and not colon:
+            elif m := REFERENCE.match(text, at):
                 names.append((m[0], m.start(), m.end()))
                 if not literals and len(names) == 1 and (b := BARE.match(text, at)) and b.end() > m.end():
                     names, m = [], b  # a bare value such as KEY=abc/def
@@ -137,25 +137,58 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     if "=" not in text and ":" not in text:
         return []
     found = list(pairs(text))
-    defined = {name for name, _, _ in found}
-    # a lone name that the text does not define is a bare value, as in KEY=abc123
-    found = [(name, names, []) if not literals and len(names) == 1 and names[0][0] not in defined else (name, literals, [x for x, _, _ in names]) for name, literals, names in found]
-    if not any(sensitivity(name) for name, _, _ in found):
+    weights = [sensitivity(name) for name, _, _ in found]
+    if not any(weights):
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    for _ in range(2):  # the second round sees names that are defined further down
-        for name, literals, names in found:
-            value = list(literals)
-            for other in names:
-                value += constants.get(other, [])
-            constants[name] = value[: max(JOINED, len(literals))]
+    defined: dict[str, list[int]] = {}
+    for i, (name, _, _) in enumerate(found):
+        defined.setdefault(name, []).append(i)
+    # a lone name that the text does not define is a bare value, as in KEY=abc123
+    nodes = [(names, []) if not literals and len(names) == 1 and names[0][0] not in defined else (literals, [x for x, _, _ in names if x in defined]) for _, literals, names in found]
+
+    def nearest(name: str, i: int) -> int:
+        """The definition of name that node i sees."""
+        at = defined[name]
+        k = bisect_left(at, i)
+        return at[k - 1] if k else next((x for x in at if x != i), i)
+
+    def joined(i: int, swapped: str = "", by: int = -1) -> list[tuple[str, int, int]]:
+        """The literals of node i's value, each node once; `by` stands for the name `swapped` in it."""
+        value, seen, left = [], set(), [i]
+        while left:
+            k = left.pop()
+            if k not in seen:
+                seen.add(k)
+                value += nodes[k][0]
+                left += [by if k == i and x == swapped else nearest(x, k) for x in nodes[k][1]]
+        return sorted(value, key=lambda x: x[1])
+
     flagged = set()
-    for name, literals, names in found:
-        weight = sensitivity(name)
-        value = literals + [x for other in names for x in constants.get(other, []) if other != name]
-        if weight and value and weight * strength("".join(v for v, _, _ in value)) >= THRESHOLD:
+
+    def flag(value: list[tuple[str, int, int]], weight: float) -> None:
+        if value and weight * strength("".join(v for v, _, _ in value)) >= THRESHOLD:
             # a bare word after the name and a colon is prose unless it mixes in digits
-            flagged |= {(a, b) for v, a, b in value if b > a and (text[a - 1 : a] in ('"', "'", "`") or any(c.isdigit() for c in v))}
+            flagged.update((a, b) for v, a, b in value if b > a and (text[a - 1 : a] in ('"', "'", "`") or any(c.isdigit() for c in v)))
+
+    seen, opened = set(), set()  # the most sensitive targets go first, so each node is judged once, by its greatest weight
+    for top in sorted((i for i, w in enumerate(weights) if w), key=lambda i: -weights[i]):
+        left = [top]
+        while left:
+            i = left.pop()
+            if i in seen:
+                continue
+            seen.add(i)
+            literals, names = nodes[i]
+            if literals or len(names) > 1:
+                flag(joined(i), weights[top])
+                for x in dict.fromkeys(names):
+                    for other in defined[x]:
+                        if other not in (i, nearest(x, i)):
+                            flag(joined(i, x, other), weights[top])
+            for x in names:
+                if x not in opened:
+                    opened.add(x)
+                    left += defined[x]
     return sorted(flagged)
 
 

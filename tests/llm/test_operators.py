@@ -49,6 +49,22 @@ def test_bare_literals(text, literals):
     assert [text[a:b] for a, b in secrets.lexed_spans(text)] == literals
 
 
+@pytest.mark.parametrize("text, literals", [
+    ('db_pass = "s3cretValue99"\nconf = {"pwd": db_pass}', ["s3cretValue99"]),  # after a colon
+    ('pwd = a\na = b\nb = c\nc = d\nd = "s3cretValue99"', ["s3cretValue99"]),  # a chain in the wrong order
+    ('tmp = "s3cretValue99"\npwd = tmp\ntmp = ""', ["s3cretValue99"]),  # assigned again
+    ('pwd = tmp\ntmp = "hello"\ntmp = "s3cretValue99"', ["s3cretValue99"]),
+    ('end = "Hj38"\nend = "Kz97"\nauth_key = "aB3xy" + end', ["Hj38", "Kz97", "aB3xy"]),  # either may be the end
+    ("".join(f'k{i} = "{i:02d}aB"\n' for i in range(90)) + "k = " + " + ".join(f"k{i}" for i in range(90)) + "\npwd = k", [f"{i:02d}aB" for i in range(90)]),
+    ("pwd = a\na = b\nb = a\na = pwd", []),  # a ring
+    ('a = b + "aB3x"\nb = a + "Yz98"\npwd = a', ["aB3x", "Yz98"]),
+    ('pwd: str = "s3cretValue99"', ["s3cretValue99"]),
+    ('tmp = "s3cretValue99"\ntitle = tmp', []),
+])
+def test_constants_reach_their_targets(text, literals):
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == literals
+
+
 def test_base_spans_stay_and_redaction():
     text = 'token = "0123456789abcdef0123456789abcdef"\npwd = "Tr0ub4dor&3"'
     spans = secrets.all_spans(text)
