@@ -55,6 +55,11 @@ PLACEHOLDER = re.compile(
 )
 THRESHOLD = 0.5
 LEAST_LITERAL = 8
+#: Values with white space: the run that looks generated by itself, the weight from which a name makes a phrase
+#: a likely secret, and what is left of a phrase's score.
+LEAST_RUN, STRONG, SPACED = 16, 0.8, 0.6
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
+SCHEMES = {"bearer", "basic", "token", "digest", "apikey"}
 
 OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+*/%&|^~-])=(?![=>~])|(?<![:\w]:)(?<!:):(?![:/=])")
 NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`]?(?:\s?\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]]*[ \t]*)?$""")
@@ -86,16 +91,40 @@ def sensitivity(name: str) -> float:
     return best * 0.3 if parts and (parts[-1] in HARMLESS or parts[0] in HARMLESS) else best
 
 
-def strength(value: str) -> float:
-    """0 to 1: how much a literal looks like a generated or chosen secret."""
-    if len(value) < LEAST_LITERAL or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
+def randomness(value: str) -> float:
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
     return min(1.0, entropy / 3.0) * (1.0 if classes >= 2 else 0.6)
 
 
+def mixed(value: str) -> bool:
+    """Whether letters and digits both occur."""
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def strength(value: str, weight: float = 0.0) -> float:
+    """0 to 1: how much a literal for a target of this weight looks like a generated or chosen secret.
+
+    A value with white space counts whole as a PEM private key or after an authorization scheme. Else its
+    longest run counts if it looks generated, and under a strongly sensitive name the value does, lowered
+    (more so if it has no digits, as prose has none)."""
+    value = value.strip()
+    if len(value) < LEAST_LITERAL or PLACEHOLDER.match(value):
+        return 0.0
+    if not (runs := value.split())[1:]:
+        return randomness(value)
+    if PEM.search(value):
+        return 1.0
+    if len(runs) == 2 and runs[0].lower() in SCHEMES:
+        return strength(runs[1], weight)
+    longest = max((r for r in runs if "://" not in r and mixed(r)), key=len, default="")
+    best = randomness(longest) if len(longest) >= LEAST_RUN else 0.0
+    if weight >= STRONG:
+        best = max(best, SPACED * randomness("".join(runs)) * (1.0 if mixed(value) else 0.6))
+    return best
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(target name, literals, names referred to), both as (value, start, end), for each assignment."""
     after = 0
@@ -166,9 +195,12 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     flagged = set()
 
     def flag(value: list[tuple[str, int, int]], weight: float) -> None:
-        if value and weight * strength("".join(v for v, _, _ in value)) >= THRESHOLD:
+        if value and weight * strength("".join(v for v, _, _ in value), weight) >= THRESHOLD:
             # a bare word after the name and a colon is prose unless it mixes in digits
             flagged.update((a, b) for v, a, b in value if b > a and (text[a - 1 : a] in ('"', "'", "`") or any(c.isdigit() for c in v)))
+        elif len(value) > 1 and any(c.isspace() for v, _, _ in value for c in v):
+            for x in value:  # a part with white space does not speak for the others
+                flag([x], weight)
 
     seen, opened = set(), set()  # the most sensitive targets go first, so each node is judged once, by its greatest weight
     for top in sorted((i for i, w in enumerate(weights) if w), key=lambda i: -weights[i]):
