@@ -11,6 +11,11 @@ Texts of under WINDOW + GRAM - 1 characters form one short window; those under G
 characters have one hash, of the whole text. Null and empty texts have the empty fingerprint,
 and two empty fingerprints are alike (1.0).
 
+A fingerprint says little about passages shorter than its guarantee, and of a text of one window
+it keeps one hash, so its likeness is 0 or 1 there. near_edited_all and near_next_all therefore
+give the Jaccard index of the sets of all FINE-character grams, nothing left out, for texts of
+any length; texts of under FINE characters are one gram.
+
 To edit each document with its successor, documents are dealt into ranges of doc_id; the
 first document of each range also goes to the range before. So the texts are exchanged once
 and no task sorts more than a range. Rows with equal ids are ordered by text; null ids come
@@ -30,6 +35,8 @@ from millrace.llm import common
 from millrace.llm.substrings import BASE_1, MIX_1, Powers, mixed
 
 GRAM, WINDOW = 16, 64
+#: Characters of a gram where all grams are compared.
+FINE = 8
 POWERS = Powers(BASE_1)
 EMPTY = np.zeros(0, np.uint64)
 
@@ -65,6 +72,11 @@ def winnow(text: str, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarra
     return key >> np.uint64(32), np.uint64(0xFFFFFFFF) - (key & np.uint64(0xFFFFFFFF))
 
 
+def all_grams(text: str) -> np.ndarray:
+    """The sorted set of the hashes of all FINE-character grams."""
+    return np.unique(gram_hashes(text, FINE).astype(np.uint32))
+
+
 def written(hashes: np.ndarray, positions: np.ndarray) -> str:
     return ",".join([f"{h:08x}:{p}" for h, p in zip(hashes.tolist(), positions.tolist())])
 
@@ -82,13 +94,13 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_edited_all double, near_next_all double"
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("near_edited_all", pa.float64()), ("near_next_all", pa.float64())])
 
 
 def compare(batches):
     """Takes (part, guest, doc_id, text) sorted by part, guest, doc_id, text."""
-    last = None  # (part, doc_id, text, hashes, positions, sorted set)
+    last = None  # (part, doc_id, text, hashes, positions, sorted set, sorted set of all grams)
     done = None  # the part whose guest was met
     for batch in common.slices(batches):
         out = {c: [] for c in ARROW.names}
@@ -98,14 +110,15 @@ def compare(batches):
             text = text or ""
             h, p = winnow(text)
             s = np.unique(h)
+            every = all_grams(text)
             if last is not None and last[0] == part:
-                _, was, own, oh, op, os = last
+                _, was, own, oh, op, os, oe = last
                 new = edited(own, text)
                 eh, ep = winnow(new)
-                row = (was, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), written(oh, op), written(eh, ep), likeness(os, np.unique(eh)), likeness(os, s))
+                row = (was, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), written(oh, op), written(eh, ep), likeness(os, np.unique(eh)), likeness(os, s), likeness(oe, all_grams(new)), likeness(oe, every))
                 for c, v in zip(ARROW.names, row):
                     out[c].append(v)
-            last = (part, doc_id, text, h, p, s)
+            last = (part, doc_id, text, h, p, s, every)
             if guest:
                 done, last = part, None
         if out["doc_id"]:

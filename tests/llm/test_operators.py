@@ -255,6 +255,21 @@ def test_fingerprints(docs, data, spark):
         assert some(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == want
 
 
+def test_likeness_of_short_texts_and_passages(spark):
+    rng = random.Random(12)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    passage = letters(40, "abcdefgh ")
+    texts = [letters(60, "ijklmn"), letters(60, "opqrst"), letters(150, "ijklmn") + passage, passage + letters(150, "uvwxyz"), "", None, "short"]
+    grams = lambda t: {t[i : i + fingerprints.FINE] for i in range(max(1, len(t) - fingerprints.FINE + 1))} if t else set()
+    near = lambda a, b: round(len(a & b) / len(a | b), 9) if a | b else 1.0
+    rows = fingerprints.with_successor(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3).collect()
+    got = {r.doc_id: (round(r.near_edited_all, 9), round(r.near_next_all, 9)) for r in rows}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        assert got[i] == (near(grams(t), grams(fingerprints.edited(t, after))), near(grams(t), grams(after)))
+    assert got[0][0] > 0.2 and got[2][1] > 0.05  # half-edited short copy; passage shorter than the guarantee
+
+
 def test_winnowing_guarantee():
     rng = random.Random(4)
     shared = "".join(rng.choice("abcdefgh ") for _ in range(fingerprints.WINDOW + fingerprints.GRAM - 1))
