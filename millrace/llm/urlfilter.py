@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import common
 
-#: The rules of the query, and labels of advertising and spam hosts: configuration, given in plain text.
+#: An example list, which the query uses where LIST names none: its rules, and labels of advertising and spam
+#: hosts as they occur in the test tables' pages. Other pages need a list of their own.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: The setting that names the query's list file.
+LIST = "spark.millrace.urlfilter.list"
 ALLOW, BLOCK, LABEL = 0, 1, 2
 END = re.compile(rb"[/?#]")
 PATH_END = re.compile(rb"[?#]")
@@ -103,6 +106,23 @@ def handed_out(spark: SparkSession, data: bytes) -> str:
     return path.rpartition("/")[2]
 
 
+def listed(spark: SparkSession, path: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """Rules and labels of a list file: lines of ``allow``, ``block`` or ``label``, white space and the rule or
+    label. Empty lines and those that start with # are passed over, others are an error."""
+    rules, labels = [], []
+    for row in spark.read.text(path).collect():
+        words = row["value"].split()
+        if not words or words[0].startswith("#"):
+            continue
+        if len(words) == 2 and words[0] == "label":
+            labels.append(words[1])
+        elif len(words) == 2 and words[0] in ("allow", "block") and "/" in words[1]:
+            rules.append((words[0], words[1]))
+        else:
+            raise ValueError(f"{path}: not a rule or label: {row['value']!r}")
+    return rules, labels
+
+
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
 

@@ -473,6 +473,25 @@ def test_urls(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_query_reads_its_list(spark, tmp_path):
+    from millrace.llm.queries import op10_urls
+
+    pages = [(0, "http://other-farm.org/a"), (1, "http://x.test/p/q"), (2, "http://spam-farm.org/")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    (tmp_path / "list").write_text("# ours\n\nlabel Other-Farm\nblock x.test/p\n")
+    (tmp_path / "wrong").write_text("deny x.test/\n")
+    verdicts = lambda: [r.verdict for r in op10_urls(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert verdicts() == ["allow", "allow", "block"]
+    try:
+        spark.conf.set(urlfilter.LIST, str(tmp_path / "list"))
+        assert verdicts() == ["block", "block", "allow"]
+        spark.conf.set(urlfilter.LIST, str(tmp_path / "wrong"))
+        with pytest.raises(ValueError, match="deny"):
+            verdicts()
+    finally:
+        spark.conf.unset(urlfilter.LIST)
+
+
 def test_collisions_never_decide(tmp_path):
     data = urlfilter.layout(urlfilter.RULES, urlfilter.LABELS, digest=lambda s: 5)
     (tmp_path / "d").write_bytes(data)
