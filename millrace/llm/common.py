@@ -8,13 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: The six code points that separate words: space, and U+0009 to U+000D.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 
-#: Rows that a Python worker turns into objects at a time; bounds its memory, not what is read.
-ROWS_AT_A_TIME = 512
+#: Rows, and bytes of strings, that a Python worker turns into objects at a time; they bound its memory, not what
+#: is read. A row that is longer by itself is taken alone.
+ROWS_AT_A_TIME, BYTES_AT_A_TIME = 512, 8 << 20
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -61,10 +63,14 @@ def hadoop_fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the tables that stored() wrote for this application; call it once results are written."""
-    fs, at = hadoop_fs(spark, f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}")
-    fs.delete(at, True)
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables that stored() wrote, or without any named all of this application's. Call it once nothing
+    that reads them is left to run."""
+    base = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    paths = {f.rpartition("/")[0] for t in tables for f in t.inputFiles()} if tables else {base}
+    for path in paths:
+        fs, at = hadoop_fs(spark, path)
+        fs.delete(at, True)
 
 
 def partitions(df: DataFrame) -> int:
@@ -72,10 +78,38 @@ def partitions(df: DataFrame) -> int:
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME) -> Iterator[pa.RecordBatch]:
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df if it reads tables without an exchange, so that every job over it meets the same rows in the same
+    partitions; else a stored copy, of which that is true."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "Scan parquet" in plan and not any(x in plan for x in ("Exchange", "QueryStage", "InMemory")) else stored(df, name)
+
+
+def string_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings of each row, summed up to it; a leading 0."""
+    total = np.zeros(batch.num_rows + 1, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            total[1:] += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.cumsum(total)
+
+
+def edges(batch: pa.RecordBatch, rows: int, size: int) -> list[int]:
+    """Where to cut batch so that a part has at most so many rows and, if it has several, at most so many bytes."""
+    ends, at, out = string_bytes(batch), 0, [0]
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, ends[at] + size, side="right")) - 1
+        at = min(at + rows, max(at + 1, fits), batch.num_rows)
+        out.append(at)
+    return out
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_A_TIME, size: int = BYTES_AT_A_TIME) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        cut = edges(batch, rows, size)
+        for start, end in zip(cut, cut[1:]):
+            yield batch.slice(start, end - start)
 
 
 def texts_of(column: pa.Array) -> list[str]:

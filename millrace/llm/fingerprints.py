@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common
-from millrace.llm.substrings import BASE_1, MIX_1, Powers, mixed
+from millrace.llm.hashing import MIX_1, powers
 
 GRAM, WINDOW = 16, 64
 #: Characters of a gram where all grams are compared.
 FINE = 8
-POWERS = Powers(BASE_1)
+BASE = 0x9E3779B97F4A7C15
 EMPTY = np.zeros(0, np.uint64)
 
 
@@ -47,7 +47,7 @@ def gram_hashes(text: str, gram: int = GRAM) -> np.ndarray:
     if not len(points):
         return EMPTY
     size = min(gram, len(points))
-    up, down = POWERS.upto(len(points) + 1)
+    up, down = powers(BASE, len(points) + 1)
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points + np.uint64(1)) * up[:-1], out=sums[1:])
     h = (sums[size:] - sums[:-size]) * down[: len(points) - size + 1]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 from millrace.llm.components import components
-from millrace.llm.substrings import mixed
+from millrace.llm.hashing import mixed
 
 SHINGLE, SEED, NEAR = 3, 42, 3
 SEGMENTS, QUARTERS = 16, 4

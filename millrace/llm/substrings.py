@@ -1,335 +1,370 @@
 """Substring dedup with a count-min prefilter.
 
-A window is WINDOW consecutive words. Every window is represented by its anchor: the least
-hash among its GRAM-word grams, leftmost on ties. Equal windows have equal anchors, so the
-number of places where an anchor is chosen is never under the count of any window it stands for.
-
-1. Every partition sketches its anchors (distinct hashes with counts that saturate at 2).
-   The sketches are merged, block of hash space by block, into count-min counters whose
-   number follows the data; anchors with an estimate of 2 or more stay. An estimate is
-   never under the count, so no repeated window is lost.
-2. Only windows of such anchors are grouped exactly, by anchor and a second, independent
-   digest of the whole window (128 bits together). A partition first groups its own: windows
-   that repeat in it are decided at once, others go to their block. So a passage that
-   a third of all documents share puts one row for each partition into a group, no more.
-
-Words covered by a repeated window are removed. The texts are exchanged once, by a hash
-of the row, and both joins reuse that exchange.
-
-Defined results: null and empty texts have no words and lose none; texts under WINDOW
-words lose none; repeated rows, even with equal ids, repeat each other's windows; windows
-may overlap and may repeat inside one document; other columns are not looked at.
+A window is WINDOW consecutive words. Rows are taken in chunks of about CHUNK bytes of text; a chunk
+is what asks and gets answers.
+
+1. Sketch. Each window is hashed (words by XXH64, their run by a polynomial) into one counter of
+   each of DEPTH rows. A chunk's own sketch, its counters that are not 0 with values that stop at 2,
+   is sent in parts: the rows are cut into blocks of WIDTH counters. A block adds up the parts of all
+   chunks, and tells each chunk which of the counters it sent stand at 2 or more. The estimate of a
+   window is the least of its counters, never under its count, so no repeated window is lost. There are
+   COUNTERS counters a window in all, so the sketch grows with the data, its blocks don't.
+2. Exact count. Windows with an estimate of 2 or more are told apart by 128 bits of BLAKE2b over
+   their bytes, which no one knows how to make collide. A chunk sends each of its distinct ones once, with a
+   mark if it has it twice, to the block of the digest; that answers with one bit for each.
+
+Places never leave their chunk, and only digests, counters and bits travel beside one exchange of the
+texts, which both joins read. A passage of a third of all documents, or a row repeated any number of times, is one
+entry for each chunk that holds it.
+
+Words covered by a repeated window are removed. Defined results: null and empty texts have no words
+and lose none; texts under WINDOW words lose none; repeated rows, even with equal or null ids, repeat each other's
+windows; windows may overlap and may repeat inside one document; a text of any length is read whole, word by
+word in pieces; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import common
+from millrace.llm.hashing import mixed, powers
 
-WINDOW, GRAM = 35, 8
-#: Odd multipliers of the two polynomial hashes, and of the final mixing.
-BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-MASK = (1 << 64) - 1
-#: Blocks of hash space for each partition of the input; each holds about what one partition does.
-BLOCKS_A_PARTITION = 2
-#: Windows that a task groups at a time before it sends them on.
-HELD = 1 << 20
+WINDOW = 35
+#: Rows of the sketch, counters for each window in all rows together, and counters of a block.
+DEPTH, COUNTERS, WIDTH = 2, 6, 1 << 25
+SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes of text of a chunk; a longer text is a chunk by itself. Bytes of a text whose words are objects at a time.
+CHUNK, PIECE = 2 << 20, 1 << 20
+#: Distinct words whose hashes a worker remembers.
+KNOWN = 1 << 19
+SEPARATOR = re.compile(rb"[ \t-\r]")
 
 
-class Powers:
-    """base**i and base**-i modulo 2**64, as far as the longest text so far."""
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                step = np.full(size, b, np.uint64)
-                step[0] = 1
-                setattr(self, name, np.multiply.accumulate(step))
-        return self.up[:n], self.down[:n]
+HASHES = WordHashes()
 
 
-POWERS = {b: Powers(b) for b in (BASE_1, BASE_2)}
+def pieces(data: bytes, size: int = 0) -> Iterator[list[bytes]]:
+    """The words of data, in lists of those of about `size` bytes."""
+    size, at = size or PIECE, 0
+    while len(data) - at > size:
+        m = SEPARATOR.search(data, at + size)
+        if not m:
+            break
+        yield data[at : m.start()].split()
+        at = m.end()
+    yield data[at:].split() if at else data.split()
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX_1)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(MIX_2)
-    return h ^ (h >> np.uint64(31))
+class Words:
+    """The words of one text, joined by single spaces, where each begins and ends, and their hashes."""
 
+    def __init__(self, data: bytes, hashed: bool = True):
+        joined, sizes, hashes = [], [], []
+        for words in pieces(data):
+            if words:
+                joined.append(b" ".join(words))
+                sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
+                if hashed:
+                    hashes.append(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)))
+        self.joined = joined[0] if len(joined) == 1 else b" ".join(joined)
+        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self.n = len(size)
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
 
-class Words:
-    """The words of one text, joined by single spaces, and hashes of runs of them."""
-
-    def __init__(self, data: bytes):
-        self.words = data.split()
-        self.n = len(self.words)
-        if self.n >= WINDOW:
-            joined = b" ".join(self.words)
-            self.bytes = np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1)
-            ends = np.flatnonzero(self.bytes == 33)
-            self.starts, self.ends = np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(joined)]])
-
-    def hashes(self, size: int, base: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Hash of the words at[i] .. at[i] + size - 1, or of all runs of size words."""
-        up, down = POWERS[base].upto(len(self.bytes) + 1)
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(self.bytes * up[:-1], out=sums[1:])
-        a = self.starts[: self.n - size + 1] if at is None else self.starts[at]
-        b = self.ends[size - 1 :] if at is None else self.ends[at + size - 1]
-        return mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(MIX_2))
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor hash, first window and number of windows of each run of windows that share an anchor."""
-        grams = self.hashes(GRAM, BASE_1)
-        span = WINDOW - GRAM + 1
-        place = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(self.n - WINDOW + 1)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        return grams[place[first]], first, np.diff(np.concatenate([first, [len(place)]]))
-
-
-def anchor_rows(batches):
-    """(h, key, first, n) for each anchor of each text."""
-    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
-    for batch in common.slices(batches):
-        parts = []
-        for key, data in zip(batch.column(0).to_pylist(), common.bytes_of(batch.column(1))):
-            if data.count(b" ") + data.count(b"\n") + data.count(b"\t") + data.count(b"\r") + data.count(b"\x0b") + data.count(b"\x0c") < WINDOW - 1:
-                continue
-            w = Words(data)
-            if w.n >= WINDOW:
-                h, first, n = w.anchors()
-                parts.append((h, np.full(len(h), key), first, n))
-        if parts:
-            h, key, first, n = (np.concatenate(x) for x in zip(*parts))
-            yield common.batch_of(schema, h=common.signed(h), key=key, first=first.astype(np.int32), n=n.astype(np.int32))
+    def windows(self) -> np.ndarray:
+        """A hash of each window: the polynomial of its words' hashes modulo 2**64. Only the sketch uses it."""
+        if self.n < WINDOW:
+            return np.zeros(0, np.uint64)
+        up, down = powers(SEEDS[0], self.n + 1)
+        sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(self.hashes * up[: self.n], out=sums[1:])
+        return (sums[WINDOW:] - sums[:-WINDOW]) * down[: self.n - WINDOW + 1]
 
+    def digests(self, at: np.ndarray) -> list[bytes]:
+        """128 bits of BLAKE2b of each of these windows."""
+        joined, make = self.joined, hashlib.blake2b
+        return [make(joined[a:b], digest_size=16).digest() for a, b in zip(self.starts[at].tolist(), self.ends[at + WINDOW - 1].tolist())]
 
-def by_block(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts by block, and where each block begins in it."""
-    block = (h >> np.uint64(16)) % np.uint64(blocks)
-    order = np.argsort(block, kind="stable")
-    return order, np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
+    def without(self, gone: np.ndarray) -> bytes:
+        """The words not gone, joined by one space."""
+        if not gone.any():
+            return self.joined
+        turn = np.diff(np.concatenate([[True], gone, [True]]).astype(np.int8))
+        first, last = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1) - 1
+        return b" ".join([self.joined[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[last].tolist())])
 
 
-def sketches(blocks: int):
-    """A partition's own sketch: its distinct anchors and counts saturated at 2, packed by block."""
-    schema = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+def cells(h: np.ndarray, space: int) -> np.ndarray:
+    """The counter of each window in each row: DEPTH x n places in one space."""
+    row = np.uint64(space // DEPTH)
+    return np.stack([mixed(h ^ np.uint64(s)) % row + np.uint64(i) * row for i, s in enumerate(SEEDS)])
 
-    def sent(held):
-        h, n = np.unique(np.concatenate(held), return_counts=True)
-        order, edge = by_block(h, blocks)
-        h, n = h[order], np.minimum(n[order], 2).astype(np.uint8)
-        full = np.flatnonzero(np.diff(edge))
-        return common.batch_of(schema, block=full.astype(np.int32), hashes=[h[edge[b] : edge[b + 1]].tobytes() for b in full], counts=[n[edge[b] : edge[b + 1]].tobytes() for b in full])
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(common.unsigned(batch.column(0).to_numpy()).copy())
-                size += batch.num_rows
-            if size >= HELD:
-                yield sent(held)
-                held, size = [], 0
-        if size:
-            yield sent(held)
+def parts(places: np.ndarray, width: int) -> Iterator[tuple[int, slice]]:
+    """(block, where its part is) of sorted places."""
+    block = places // np.uint64(width)
+    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else np.zeros(1, np.int64)
+    for a, b in zip(edge.tolist(), edge[1:].tolist()):
+        yield int(block[a]), slice(a, b)
 
-    return run
 
+def packed(places: np.ndarray) -> bytes:
+    """Sorted places of a block as steps, in two bytes each if they fit."""
+    step = np.diff(places, prepend=np.uint64(0))
+    return b"\2" + step.astype("<u2").tobytes() if step.max() < 1 << 16 else b"\4" + step.astype("<u4").tobytes()
 
-def merged(sketch: pa.Table) -> pa.Table:
-    """The count-min sketch of one block, merged from the partitions' sketches; the anchors it estimates at 2 or more."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in sketch.column("hashes").to_pylist()])
-    n = np.concatenate([np.frombuffer(x, np.uint8) for x in sketch.column("counts").to_pylist()])
-    width = np.uint64(1 << max(10, int(2 * len(h)).bit_length()))
-    cells = [mixed(h ^ np.uint64(seed)) & (width - np.uint64(1)) for seed in (BASE_1, BASE_2)]
-    rows = [np.bincount(c.astype(np.int64), weights=n, minlength=int(width)) for c in cells]
-    estimate = np.minimum(*(r[c.astype(np.int64)] for r, c in zip(rows, cells)))
-    return pa.table({"h": pa.array(common.signed(np.unique(h[estimate >= 2])))})
-
-
-def repeated_anchors(anchors: DataFrame, blocks: int) -> DataFrame:
-    return anchors.select("h").mapInArrow(sketches(blocks), "block int, hashes binary, counts binary").groupBy("block").applyInArrow(merged, "h long")
-
-
-def window_rows(blocks: int):
-    """Takes (doc_id, key, text, runs); gives windows packed by block, and those decided here in block -1 - something."""
-    schema = pa.schema([("block", pa.int32()), ("h", pa.binary()), ("d", pa.binary()), ("doc_id", pa.binary()), ("key", pa.binary()), ("at", pa.binary())])
-
-    def sent(held):
-        h, d, doc, key, at = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((d, h))
-        h, d, doc, key, at = (x[order] for x in (h, d, doc, key, at))
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] > 1
-        out = {c: [] for c in schema.names}
-
-        def put(block, *columns):
-            for c, x in zip(schema.names[1:], columns):
-                out[c].append(np.ascontiguousarray(x).tobytes())
-            out["block"].append(block)
-
-        if several.any():  # decided: repeated in this partition; dealt by document
-            x = np.flatnonzero(several)
-            order, edge = by_block(mixed(common.unsigned(key[x])), blocks)
-            x = x[order]
-            for b in np.flatnonzero(np.diff(edge)):
-                y = x[edge[b] : edge[b + 1]]
-                put(int(b), np.zeros(0), np.zeros(0), doc[y], key[y], at[y])
-        one = np.flatnonzero(new)  # one of each goes to its block; at -1: repeated already
-        order, edge = by_block(h[one], blocks)
-        one = one[order]
-        mark = np.where(several[one], -1, at[one])
-        for b in np.flatnonzero(np.diff(edge)):
-            y = slice(edge[b], edge[b + 1])
-            put(int(b), h[one[y]], d[one[y]], doc[one[y]], key[one[y]], mark[y])
-        return common.batch_of(schema, **out)
 
-    def run(batches):
-        held, size = [], 0
-        for batch in common.slices(batches):
-            for doc, key, data, runs in zip(*(batch.column(i).to_pylist() for i in (0, 1)), common.bytes_of(batch.column(2)), batch.column(batch.num_columns - 1).to_pylist()):
-                if not runs:
-                    continue
-                runs = np.array(runs, np.int64).view(np.uint32).reshape(-1, 2).astype(np.int64)
-                w = Words(data)
-                if w.n < WINDOW:
-                    continue
-                first, n = runs[:, 1], runs[:, 0]
-                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.unique(at[at <= w.n - WINDOW])
-                if not len(at):
-                    continue
-                h, start, count = w.anchors()
-                h = np.repeat(h, count)[at]
-                held.append((h, w.hashes(WINDOW, BASE_2, at), np.full(len(at), NULL if doc is None else doc), np.full(len(at), key), at.astype(np.int32)))
-                size += len(at)
-                if size >= HELD:
-                    yield sent(held)
-                    held, size = [], 0
-        if size:
-            yield sent(held)
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, "<u2" if data[0] == 2 else "<u4", offset=1), dtype=np.int64)
 
-    return run
+
+def bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
 
 
-#: Stands for a null doc_id inside packed arrays.
-NULL = -(1 << 63)
+def unbits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def decided(group: pa.Table) -> pa.Table:
-    """The repeated windows of one block: (doc_id, key, packed places) for each document."""
-    col = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()] or [np.zeros(0, kind)])
-    sizes = [(len(x) // 8, len(y) // 8) for x, y in zip(group.column("h").to_pylist(), group.column("key").to_pylist())]
-    open_ = np.concatenate([np.full(k, hn > 0) for hn, k in sizes]) if sizes else np.zeros(0, bool)
-    h, d, doc, key, at = col("h", np.uint64), col("d", np.uint64), col("doc_id", np.int64), col("key", np.int64), col("at", np.int32)
-    weight = np.where(at[open_] < 0, 2, 1)
-    order = np.lexsort((d, h))
-    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (d[order][1:] != d[order][:-1])]) if len(h) else np.zeros(0, bool)
+# ---- chunks
+
+def chunked(docs: DataFrame, size: int) -> DataFrame:
+    """docs as (chunk, rows): an array of whole rows. Chunks are numbered by partition and place."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            cut = common.edges(batch, batch.num_rows, size)
+            rows = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(cut) - 1), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), rows)], names=["chunk", "rows"])
+            number += len(cut) - 1
+
+    return docs.mapInArrow(run, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rows", T.ArrayType(docs.schema))]))
+
+
+def texts(rows: pa.StructArray) -> list[bytes]:
+    return common.bytes_of(rows.field("text"))
+
+
+class Chunk:
+    """The windows of a chunk, one text after the other."""
+
+    def __init__(self, rows: pa.StructArray, space: int):
+        self.words = [Words(t) for t in texts(rows)]
+        h = [w.windows() for w in self.words]
+        self.edge = np.cumsum([0, *map(len, h)])  # where each text's windows begin
+        self.cells, self.inverse, self.counts = np.unique(cells(np.concatenate(h), space), return_inverse=True, return_counts=True)
+        self.inverse = self.inverse.reshape(DEPTH, -1)
+
+    def suspects(self, answers, width: int) -> list[np.ndarray]:
+        """For each text the windows with an estimate of 2 or more, by the blocks' answers."""
+        told = {a["block"]: a["bits"] for a in answers or ()}
+        full = np.zeros(len(self.cells), bool)
+        for block, at in parts(self.cells, width):
+            if block in told:
+                full[at] = unbits(told[block], at.stop - at.start)
+        hit = np.flatnonzero(full[self.inverse].all(axis=0))
+        cut = np.searchsorted(hit, self.edge)
+        return [hit[a:b] - e for a, b, e in zip(cut, cut[1:], self.edge)]
+
+
+class Asked:
+    """The suspect windows of a chunk by their digests: what is asked of the blocks, and how answers are read."""
+
+    def __init__(self, chunk: Chunk, answers, width: int, blocks: int):
+        first: dict[bytes, int] = {}
+        self.at = chunk.suspects(answers, width)
+        self.ids = [np.array([first.setdefault(d, len(first)) for d in w.digests(at)], np.int64) for w, at in zip(chunk.words, self.at)]
+        count = np.bincount(np.concatenate(self.ids), minlength=len(first)) if first else np.zeros(0, np.int64)
+        self.digests = np.frombuffer(b"".join(first), "<u8").reshape(-1, 2)
+        block = (self.digests[:, 0] % np.uint64(blocks)).astype(np.int64)
+        self.order = np.argsort(block, kind="stable")
+        self.twice = count > 1
+        self.edge = np.searchsorted(block[self.order], np.arange(blocks + 1))
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        for b in np.flatnonzero(np.diff(self.edge)).tolist():
+            yield b, self.order[self.edge[b] : self.edge[b + 1]]
+
+    def gone(self, chunk: Chunk, answers) -> list[np.ndarray]:
+        """For each text, which words lie in a repeated window."""
+        told = {a["block"]: a["bits"] for a in answers or ()}
+        repeated = np.zeros(len(self.digests), bool)
+        for b, at in self.parts():
+            if b in told:
+                repeated[at] = unbits(told[b], len(at))
+        out = []
+        for w, at, ids in zip(chunk.words, self.at, self.ids):
+            marks = np.zeros(w.n + 1, np.int32)
+            at = at[repeated[ids]]
+            marks[at] += 1
+            marks[at + WINDOW] -= 1
+            out.append(np.cumsum(marks[:-1]) > 0)
+        return out
+
+
+# ---- blocks
+
+ASK = "block long, chunk long, what binary, twice binary"
+ANSWER = "chunk long, block long, bits binary"
+
+
+def answered(group: pa.Table, told: list[bytes]) -> pa.Table:
+    """Answers without a single yes are left out."""
+    keep = [i for i, t in enumerate(told) if any(t)]
+    return pa.table({"chunk": group.column("chunk").take(pa.array(keep, pa.int64())), "block": group.column("block").take(pa.array(keep, pa.int64())), "bits": pa.array([told[i] for i in keep], pa.binary())})
+
+
+def added(width: int):
+    """A block of the sketch: all chunks' counters added up, and for each chunk those of its own that reached 2."""
+
+    def run(group: pa.Table) -> pa.Table:
+        what, twice = group.column("what").to_pylist(), group.column("twice").to_pylist()
+        counters = np.zeros(width, np.uint8)
+        for w, t in zip(what, twice):
+            at = unpacked(w)
+            counters[at] = np.minimum(counters[at] + 1 + unbits(t, len(at)), 2)
+        return answered(group, [bits(counters[unpacked(w)] > 1) for w in what])
+
+    return run
+
+
+def counted(group: pa.Table) -> pa.Table:
+    """A block of digests: for each chunk, those that occur twice."""
+    what, twice = group.column("what").to_pylist(), group.column("twice").to_pylist()
+    sizes = [len(w) // 16 for w in what]
+    d = np.frombuffer(b"".join(what), "<u8").reshape(-1, 2)
+    weight = 1 + np.concatenate([unbits(t, n) for t, n in zip(twice, sizes)])
+    order = np.lexsort((d[:, 1], d[:, 0]))
+    new = np.concatenate([[True], (d[order][1:] != d[order][:-1]).any(axis=1)])
     ids = np.cumsum(new) - 1
-    several = np.zeros(len(h), bool)
-    several[order] = (np.bincount(ids, weights=weight[order])[ids] > 1) if len(h) else False
-    hit = ~open_
-    hit[np.flatnonzero(open_)[several & (at[open_] >= 0)]] = True
-    doc, key, at = doc[hit], key[hit], at[hit]
-    order = np.lexsort((at, doc, key))
-    doc, key, at = doc[order], key[order], at[order]
-    edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
-    return pa.table({
-        "s_doc": pa.array([None if doc[a] == NULL else int(doc[a]) for a in edge[:-1]], pa.int64()), "s_key": pa.array(key[edge[:-1]], pa.int64()),
-        "places": pa.array([at[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary()),
-    })
-
-
-def covered(n: int, places: list[bytes] | None) -> np.ndarray:
-    """Which of n words lie in a repeated window."""
-    marks = np.zeros(n + 1, np.int32)
-    if places:
-        at = np.unique(np.frombuffer(b"".join(places), np.int32))
-        marks[at] += 1
-        marks[at + WINDOW] -= 1
-    return np.cumsum(marks[:-1]) > 0
-
-
-def located(docs: DataFrame, *extra: Column) -> DataFrame:
-    """docs' doc_id, key, text and extra, with __places: a list of packed window places or null."""
-    blocks = max(16, BLOCKS_A_PARTITION * common.partitions(docs))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", *extra)
-    anchors = common.stored(rows.select("key", "text").mapInArrow(anchor_rows, "h long, key long, first int, n int"), "anchors")
-    repeated = common.stored(repeated_anchors(anchors, blocks), "repeated")
-    # (n, first) packed into a long; a document has few of them
-    runs = anchors.join(repeated, "h", "left_semi").groupBy(F.col("key").alias("r_key")).agg(F.collect_set(F.expr("shiftleft(cast(first as long), 32) + n")).alias("runs"))
-    flagged = rows.join(runs, rows.key == runs.r_key, "left_outer")
-    # All columns go along, so that both joins read one and the same exchange of the texts.
-    windows = flagged.where("runs is not null").drop("r_key").mapInArrow(window_rows(blocks), "block int, h binary, d binary, doc_id binary, key binary, at binary")
-    places = windows.groupBy("block").applyInArrow(decided, "s_doc long, s_key long, places binary")
-    places = places.groupBy("s_key").agg(F.collect_list(F.struct("s_doc", "places")).alias("__places"))
-    return rows.join(places, rows.key == places.s_key, "left_outer").drop("s_key")
-
-
-def own(doc_id, places: list[dict] | None) -> list[bytes]:
-    return [p["places"] for p in places or () if p["s_doc"] == doc_id]
+    several = np.zeros(len(d), bool)
+    several[order] = (np.bincount(ids, weights=weight[order]) > 1)[ids]
+    edge = np.cumsum([0, *sizes])
+    return answered(group, [bits(several[a:b]) for a, b in zip(edge, edge[1:])])
+
+
+# ---- the whole
+
+def each_chunk(batches, columns: int) -> Iterator[tuple]:
+    """(rows, the other columns' values ...) of each row of batches, rows being the second column."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield (batch.column(1)[i].values, batch.column(0)[i].as_py(), *[batch.column(c)[i].as_py() for c in range(2, columns)])
+
+
+def messages(found) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("what", pa.binary()), ("twice", pa.binary())])
+    held = []
+    for row in found:
+        held.append(row)
+        if len(held) >= 4096:
+            yield common.batch_of(schema, **{c: [r[i] for r in held] for i, c in enumerate(schema.names)})
+            held = []
+    if held:
+        yield common.batch_of(schema, **{c: [r[i] for r in held] for i, c in enumerate(schema.names)})
+
+
+def by_chunk(answers: DataFrame, key: str, name: str) -> DataFrame:
+    """All answers to a chunk, as many as there are blocks at most."""
+    return answers.groupBy(F.col("chunk").alias(key)).agg(F.collect_list(F.struct("block", "bits")).alias(name))
+
+
+def about(docs: DataFrame) -> int:
+    """Windows to reckon with: one for each four bytes of text. It only sizes the sketch."""
+    return (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // 4
+
+
+def applied(docs: DataFrame, out: T.StructType | str, rewritten, size: int = 0, width: int = 0) -> DataFrame:
+    """rewritten(rows, words, gone) for each chunk of docs; gone: which words of each row to remove."""
+    docs = common.settled(docs, "docs")
+    size, width = size or CHUNK, width or WIDTH
+    # a small table gets blocks of less than width, so that all cores have some
+    space = max(1 << 14, COUNTERS * about(docs))
+    width = min(width, 1 << max(10, (space // 32).bit_length()))
+    blocks = -(-space // width)
+    blocks += -blocks % DEPTH
+    space = blocks * width
+
+    def sketched(batches):
+        for rows, chunk in each_chunk(batches, 2):
+            c = Chunk(rows, space)
+            for block, at in parts(c.cells, width):
+                yield block, chunk, packed(c.cells[at] - np.uint64(block * width)), bits(c.counts[at] > 1)
+
+    def asked(batches):
+        for rows, chunk, answers in each_chunk(batches, 3):
+            if not answers:
+                continue
+            a = Asked(Chunk(rows, space), answers, width, blocks)
+            for block, at in a.parts():
+                yield block, chunk, a.digests[at].tobytes(), bits(a.twice[at])
+
+    def finished(batches):
+        for rows, _, answers, exact in each_chunk(batches, 4):
+            c = Chunk(rows, space)
+            yield rewritten(rows, c.words, Asked(c, answers, width, blocks).gone(c, exact))
+
+    chunks = chunked(docs, size)
+    sketch = chunks.mapInArrow(lambda b: messages(sketched(b)), ASK).groupBy("block").applyInArrow(added(width), ANSWER)
+    reached = by_chunk(common.stored(sketch, "reached"), "r_chunk", "reached").hint("merge")
+    # All columns go along in both uses, so that both read one and the same exchange of the texts.
+    known = chunks.join(reached, chunks.chunk == reached.r_chunk, "left_outer").select("chunk", "rows", "reached")
+    exact = known.mapInArrow(lambda b: messages(asked(b)), ASK).groupBy("block").applyInArrow(counted, ANSWER)
+    exact = by_chunk(exact, "e_chunk", "exact").hint("merge")
+    done = known.join(exact, known.chunk == exact.e_chunk, "left_outer").select("chunk", "rows", "reached", "exact")
+    return done.mapInArrow(finished, out)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, **sizes) -> DataFrame:
     """One row per row of docs: words, words removed, and the digest of what is left."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
-    def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-        for batch in common.slices(batches):
-            rows = []
-            for doc_id, data, places in zip(batch.column(0).to_pylist(), common.bytes_of(batch.column(1)), batch.column(2).to_pylist()):
-                places = own(doc_id, places)
-                words = data.split()
-                n, gone = len(words), 0
-                if places:
-                    out = covered(n, places)
-                    gone = int(out.sum())
-                    words = [w for w, x in zip(words, out.tolist()) if not x]
-                rows.append((n, gone, hashlib.sha256(b" ".join(words)).hexdigest()))
-            yield common.batch_of(schema, doc_id=batch.column(0), **{c: [r[i] for r in rows] for i, c in enumerate(schema.names[1:])})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return located(rows).select("doc_id", "text", "__places").mapInArrow(run, SCHEMA)
-
-
-def removed(docs: DataFrame) -> DataFrame:
+    def rewritten(rows, words, gone):
+        return common.batch_of(schema, doc_id=rows.field("doc_id"), n_words=[w.n for w in words], n_removed=[int(g.sum()) for g in gone], kept_sha256=[hashlib.sha256(w.without(g)).hexdigest() for w, g in zip(words, gone)])
+
+    return applied(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SCHEMA, rewritten, **sizes)
+
+
+def removed(docs: DataFrame, **sizes) -> DataFrame:
     """docs with repeated words cut out of text. Texts that lose nothing stay as they are; in
     others the kept words are joined by one space; rows left without a word are dropped."""
 
-    def run(batches):
-        for batch in common.slices(batches):
-            text, keep = batch.column(1), np.ones(batch.num_rows, bool)
-            texts = text.to_pylist()
-            for i, (doc_id, p) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
-                if places := own(doc_id, p):
-                    words = texts[i].encode().split()
-                    texts[i] = b" ".join(w for w, x in zip(words, covered(len(words), places).tolist()) if not x).decode()
-                    keep[i] = bool(texts[i])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, text.type), batch.column(2)], names=["text", "row"]).filter(pa.array(keep))
-
-    # All columns travel in one struct, so none of their names can clash.
-    row = F.struct(*[F.col(f"`{c}`") if c != "text" else F.lit(None).cast("string").alias(c) for c in docs.columns])
-    out = located(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")), F.col("row")).select("doc_id", "text", "row", "__places")
-    cut = out.mapInArrow(run, T.StructType([docs.schema["text"], out.schema["row"]]))
-    return cut.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    def rewritten(rows, words, gone):
+        text = rows.field("text")
+        new = text.to_pylist()
+        for i, (w, g) in enumerate(zip(words, gone)):
+            if g.any():
+                new[i] = w.without(g).decode()
+        keep = pa.array([not (g.any() and not t) for t, g in zip(new, gone)], pa.bool_())
+        columns = [pa.array(new, text.type) if f.name == "text" else rows.field(i) for i, f in enumerate(rows.type)]
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(rows.type))).filter(keep)
+
+    return applied(docs, docs.schema, rewritten, **sizes)
 
 
 def sql() -> str:

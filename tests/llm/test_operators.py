@@ -215,18 +215,82 @@ def test_substrings_across_partitions(spark):
     assert got == Counter(brute.substrings(rows))
 
 
-def test_count_min_never_under():
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of 2**n letters and its complement: equal under polynomial hashes modulo 2**64."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_windows_that_polynomials_confuse(spark):
+    a, b = thue_morse(10)
+    common_words = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{common_words} {a}"), (2, f"{common_words} {b}"), (3, " ".join(x for x in a[:40])), (4, " ".join(x for x in b[:40]))]
+    got = substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute.substrings(rows)) and all(r.n_removed == 0 for r in got if r.doc_id < 3)
+
+
+def test_small_chunks_blocks_and_pieces_change_nothing(docs, data, monkeypatch):
+    want = Counter(brute.substrings([(i, t) for i, t, *_ in data]))
+    monkeypatch.setattr(substrings, "PIECE", 50)
+    w = substrings.Words(data[-6][1].encode() if data[-6][1] else b"a b c " * 99)
+    assert w.joined == b" ".join(w.joined.split()) and w.n == len(w.joined.split())
+    assert some(substrings.digest(docs, size=3000, width=1 << 12), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert some(substrings.digest(docs.where("doc_id < 60 or doc_id is null").unionByName(docs.where("doc_id >= 60")).coalesce(1), size=9000, width=1 << 20), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_pieces_hold_all_words():
+    rng = random.Random(1)
+    for size in (1, 5, 20, 1000):
+        data = "".join(rng.choice(["a", "bb", "é", " ", "\n", "\v\t"]) for _ in range(500)).encode()
+        assert [w for p in substrings.pieces(data, size) for w in p] == data.split()
+
+
+def test_sketch_is_never_under_and_merges():
+    """What a block says of a counter is what the counters of all windows at once say, and no repeated window is lost."""
+    import pyarrow as pa
+
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    parts = [np.unique(rng.choice(h, 2000), return_counts=True) for _ in range(4)]
+    h = [rng.integers(0, 400, 300).astype(np.uint64) for _ in range(4)]
+    width, space = 512, 1024
+    want = np.zeros(space, int)
+    for c in substrings.cells(np.concatenate(h), space):
+        np.add.at(want, c.astype(int), 1)
+    rows, asked = [], []
+    for chunk, x in enumerate(h):
+        places, counts = np.unique(substrings.cells(x, space), return_counts=True)
+        for block, at in substrings.parts(places, width):
+            rows.append((block, chunk, substrings.packed(places[at] - np.uint64(block * width)), substrings.bits(counts[at] > 1)))
+            asked.append(places[at])
+    for block in range(2):
+        own = [i for i, r in enumerate(rows) if r[0] == block]
+        out = substrings.added(width)(pa.table({c: [rows[i][k] for i in own] for k, c in enumerate(("block", "chunk", "what", "twice"))})).to_pylist()
+        assert len(out) == len(own)
+        for i, r in zip(own, out):
+            assert (substrings.unbits(r["bits"], len(asked[i])) == (want[asked[i].astype(int)] > 1)).all()
+    exact = Counter(np.concatenate(h).tolist())
+    estimate = want[substrings.cells(np.array(list(exact), np.uint64), space).astype(int)].min(axis=0)
+    assert all(e >= n for e, n in zip(estimate, exact.values()))
+
+
+def test_repeated_rows_stay_linear(spark):
+    """Equal rows with null ids: what travels is one entry a chunk, not one for each pair or place."""
+    text = " ".join(f"w{i}" for i in range(400))
+    sent = []
+    for n in (500, 2000):
+        docs = spark.createDataFrame([(None, text)] * n, "doc_id long, text string").repartition(4)
+        out = substrings.digest(docs).collect()
+        assert len(out) == n and all(r.n_removed == 400 for r in out)
+        c = substrings.Chunk(pa_rows([text] * n), 1 << 16)
+        sent.append(len(c.cells))
+    assert sent[0] == sent[1]
+
+
+def pa_rows(texts):
     import pyarrow as pa
 
-    table = pa.table({"block": [0] * 4, "hashes": [a.tobytes() for a, _ in parts], "counts": [np.minimum(n, 2).astype(np.uint8).tobytes() for _, n in parts]})
-    found = set(substrings.merged(table).column("h").to_numpy().view(np.uint64).tolist())
-    exact = Counter()
-    for a, n in parts:
-        exact.update(dict(zip(a.tolist(), n.tolist())))
-    assert {x for x, n in exact.items() if n > 1} <= found
+    return pa.StructArray.from_arrays([pa.array(texts)], names=["text"])
 
 
 def test_removed_keeps_columns(docs, data):
