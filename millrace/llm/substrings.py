@@ -3,8 +3,7 @@
 A window is WINDOW consecutive words. Rows are taken in chunks of about CHUNK bytes of text; a chunk
 is what asks and gets answers.
 
-1. Sketch. Each window is hashed (words by XXH64, their run by a polynomial) into one counter of
-   each of DEPTH rows. A chunk's own sketch, its counters that are not 0 with values that stop at 2,
+1. Sketch. Each window is hashed, by a polynomial of its bytes, into one counter of each of DEPTH rows. A chunk's own sketch, its counters that are not 0 with values that stop at 2,
    is sent in parts: the rows are cut into blocks of WIDTH counters. A block adds up the parts of all
    chunks, and tells each chunk which of the counters it sent stand at 2 or more. The estimate of a
    window is the least of its counters, never under its count, so no repeated window is lost. There are
@@ -31,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,27 +42,15 @@ WINDOW = 35
 #: Rows of the sketch, counters for each window in all rows together, and counters of a block.
 DEPTH, COUNTERS, WIDTH = 2, 6, 1 << 25
 SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Bytes of text of a chunk; a longer text is a chunk by itself. Bytes of a text whose words are objects at a time.
-CHUNK, PIECE = 2 << 20, 1 << 20
-#: Distinct words whose hashes a worker remembers.
-KNOWN = 1 << 19
+#: Bytes of text of a chunk; a longer text is a chunk by itself. Windows of a text that are hashed at a time.
+CHUNK, PIECE = 2 << 20, 1 << 17
 SEPARATOR = re.compile(rb"[ \t-\r]")
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-HASHES = WordHashes()
+SPACED = bytes(32 if x in b"\t\n\v\f\r" else x for x in range(256))
 
 
 def pieces(data: bytes, size: int = 0) -> Iterator[list[bytes]]:
-    """The words of data, in lists of those of about `size` bytes."""
-    size, at = size or PIECE, 0
+    """The words of data, in lists of those of about 8 * PIECE bytes, or size."""
+    size, at = size or 8 * PIECE, 0
     while len(data) - at > size:
         m = SEPARATOR.search(data, at + size)
         if not m:
@@ -75,31 +61,31 @@ def pieces(data: bytes, size: int = 0) -> Iterator[list[bytes]]:
 
 
 class Words:
-    """The words of one text, joined by single spaces, where each begins and ends, and their hashes."""
-
-    def __init__(self, data: bytes, hashed: bool = True):
-        joined, sizes, hashes = [], [], []
-        for words in pieces(data):
-            if words:
-                joined.append(b" ".join(words))
-                sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
-                if hashed:
-                    hashes.append(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)))
-        self.joined = joined[0] if len(joined) == 1 else b" ".join(joined)
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        self.n = len(size)
-        self.ends = np.cumsum(size + 1) - 1
-        self.starts = self.ends - size
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    """The words of one text, joined by single spaces, and where each begins and ends."""
+
+    def __init__(self, data: bytes):
+        joined = data.translate(SPACED)
+        if joined[:1] == b" " or joined[-1:] == b" " or b"  " in joined:
+            joined = b" ".join(x for x in (b" ".join(p) for p in pieces(data)) if x)
+        self.joined = joined
+        self.bytes = np.frombuffer(joined, np.uint8)
+        space = np.flatnonzero(self.bytes == 32)
+        self.n = len(space) + 1 if joined else 0
+        self.starts, self.ends = np.concatenate([[0], space + 1])[: self.n], np.concatenate([space, [len(joined)]])[: self.n]
 
     def windows(self) -> np.ndarray:
-        """A hash of each window: the polynomial of its words' hashes modulo 2**64. Only the sketch uses it."""
-        if self.n < WINDOW:
-            return np.zeros(0, np.uint64)
-        up, down = powers(SEEDS[0], self.n + 1)
-        sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(self.hashes * up[: self.n], out=sums[1:])
-        return (sums[WINDOW:] - sums[:-WINDOW]) * down[: self.n - WINDOW + 1]
+        """A hash of each window: a polynomial of its bytes modulo 2**64. Equal windows have equal hashes, and
+        that is all the sketch needs; others that meet only raise an estimate."""
+        out = []
+        for a in range(0, self.n - WINDOW + 1, PIECE):
+            b = min(a + PIECE, self.n - WINDOW + 1)
+            first, last = self.starts[a:b] - self.starts[a], self.ends[a + WINDOW - 1 : b + WINDOW - 1] - self.starts[a]
+            data = self.bytes[self.starts[a] : self.starts[a] + last[-1]]
+            up, down = powers(SEEDS[0], len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data + np.uint64(1)) * up[:-1], out=sums[1:])
+            out.append((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
     def digests(self, at: np.ndarray) -> list[bytes]:
         """128 bits of BLAKE2b of each of these windows."""
@@ -323,8 +309,12 @@ def applied(docs: DataFrame, out: T.StructType | str, rewritten, size: int = 0,
 
     def finished(batches):
         for rows, _, answers, exact in each_chunk(batches, 4):
-            c = Chunk(rows, space)
-            yield rewritten(rows, c.words, Asked(c, answers, width, blocks).gone(c, exact))
+            if exact:
+                c = Chunk(rows, space)
+                yield rewritten(rows, c.words, Asked(c, answers, width, blocks).gone(c, exact))
+            else:
+                words = [Words(t) for t in texts(rows)]
+                yield rewritten(rows, words, [np.zeros(w.n, bool) for w in words])
 
     chunks = chunked(docs, size)
     sketch = chunks.mapInArrow(lambda b: messages(sketched(b)), ASK).groupBy("block").applyInArrow(added(width), ANSWER)

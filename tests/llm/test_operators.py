@@ -233,7 +233,7 @@ def test_windows_that_polynomials_confuse(spark):
 
 def test_small_chunks_blocks_and_pieces_change_nothing(docs, data, monkeypatch):
     want = Counter(brute.substrings([(i, t) for i, t, *_ in data]))
-    monkeypatch.setattr(substrings, "PIECE", 50)
+    monkeypatch.setattr(substrings, "PIECE", 6)
     w = substrings.Words(data[-6][1].encode() if data[-6][1] else b"a b c " * 99)
     assert w.joined == b" ".join(w.joined.split()) and w.n == len(w.joined.split())
     assert some(substrings.digest(docs, size=3000, width=1 << 12), "doc_id", "n_words", "n_removed", "kept_sha256") == want
