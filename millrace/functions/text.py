@@ -57,8 +57,10 @@ def query_text(text: Column) -> Column:
 
 
 def naive_utc(c: Column) -> Column:
-    """An ISO string with an offset or Z as a timestamp without time zone, in UTC."""
-    return F.to_timestamp_ntz(F.date_format(F.to_timestamp(c), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    """An ISO string as a timestamp without time zone, in UTC whatever the session's zone; one without an offset is in UTC."""
+    seconds = F.unix_micros(F.to_timestamp(c)).cast("decimal(24,6)") / F.lit(1000000)
+    moved = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return F.when(c.rlike(r"(?:Z|[+-]\d\d(?::?\d\d)?)$"), moved).otherwise(F.to_timestamp_ntz(c))
 
 
 def tok_words(text: Column) -> Column:

@@ -35,11 +35,22 @@ def oracle_hits(pairs: DataFrame) -> DataFrame:
 
 
 def random_hits(pairs: DataFrame, corpus: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n earlier rows for each query by a seeded hash, without pairing the tables: a row's place is
-    its count of earlier rows, and places are drawn. corpus: id, created_at in the order of ids 0 to N - 1."""
-    draws = pairs.select(F.col("duplicate").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank")).where("query_id > 0")
-    drawn = draws.withColumn("candidate_id", F.conv(F.substring(F.md5(F.concat_ws(":", "query_id", "rank", F.lit(seed))), 1, 12), 16, 10).cast("long") % F.col("query_id"))
-    return drawn.join(corpus.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi").select("query_id", "candidate_id", F.lit(0.0).alias("score"), "rank")
+    """n different rows created strictly before each query, or all of them if there are fewer, drawn by a seeded hash.
+
+    corpus: id, created_at; ids may be any. Every row's place in the order of (created_at, id) follows from counts by
+    day, so no task sorts them all; places are drawn without replacement (Floyd's way) and joined back to ids.
+    A query that is not in corpus gets none."""
+    day = F.to_date("created_at")
+    days = corpus.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    before = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = Window.partitionBy("day").orderBy("created_at")
+    placed = corpus.select("id", "created_at", day.alias("day")).join(before, "day")
+    placed = placed.select("id", (F.col("before") + F.row_number().over(within.orderBy("created_at", "id")) - 1).alias("place"), (F.col("before") + F.rank().over(within) - 1).alias("earlier"))
+    drawn = f"cast(conv(substring(md5(concat_ws(':', query_id, j, {seed})), 1, 12), 16, 10) as long) % (j + 1)"
+    floyd = f"aggregate(if(earlier > 0, sequence(greatest(earlier - {n}, 0L), earlier - 1), cast(array() as array<bigint>)), cast(array() as array<bigint>), (s, j) -> array_append(s, if(array_contains(s, {drawn}), j, {drawn})))"
+    asked = pairs.select(F.col("duplicate").alias("query_id")).distinct().join(placed.select(F.col("id").alias("query_id"), "earlier"), "query_id")
+    draws = asked.select("query_id", F.posexplode(F.expr(floyd)).alias("pos", "place"))
+    return draws.join(placed.select(F.col("id").alias("candidate_id"), "place"), "place").select("query_id", "candidate_id", F.lit(0.0).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def ceiling(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -83,9 +94,3 @@ def latency(samples: DataFrame, value: str = "value") -> DataFrame:
     place = (int(0.95 * n) + 0.5) / max(n, 1)
     return rows.agg(F.round(F.percentile(value, 0.5), 1).alias("p50"), F.round(F.expr(f"percentile_disc({place}D) within group (order by {value})"), 1).alias("p95"), F.count(F.lit(1)).alias("n"))
 
-
-def formatted(name: str, row: dict) -> str:
-    """One line of a report, 4 decimals."""
-    recalls = " ".join(f"{k.replace('recall_', 'recall@')} {v:.4f}" for k, v in row.items() if k.startswith("recall_"))
-    latency_ = f"  p50 {row['p50']}ms" if row.get("p50") is not None else ""
-    return f"{name:<22} {recalls}  mrr {row['mrr']:.4f}  (n={row['n']}){latency_}"

@@ -1,4 +1,7 @@
+import datetime as dt
+
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import evaluate, labels
 
@@ -11,10 +14,37 @@ def test_oracle_scores_one_and_random_near_none(spark):
     known = spark.range(400).withColumnRenamed("id", "number")
     r = evaluate.metrics(evaluate.canonical_ranks(evaluate.oracle_hits(truth), truth, known, 10), 300).first()
     assert (r.recall_1, r.recall_5, r.recall_10, r.mrr, r.n, r.skipped) == (1, 1, 1, 1, 300, 0)
-    r = evaluate.metrics(evaluate.canonical_ranks(evaluate.random_hits(truth, spark.range(400), 10), truth, known, 10)).first()
+    corpus = spark.range(400).select("id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(id as int), 0)").alias("created_at"))
+    r = evaluate.metrics(evaluate.canonical_ranks(evaluate.random_hits(truth, corpus, 10), truth, known, 10)).first()
     assert r.recall_10 < 0.2 and r.n == 300
 
 
+def test_random_draws_earlier_rows_without_repeats(spark):
+    """Sparse ids, equal times, several days: each query gets min(10, rows strictly earlier), none twice."""
+    made = {i * 10: dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * (i // 3)) for i in range(1, 121)}  # three rows at each time
+    corpus = spark.createDataFrame(list(made.items()), "id long, created_at timestamp_ntz")
+    truth = spark.createDataFrame([(q, 0) for q in (10, 40, 90, 130, 1200, 999)], PAIRS)
+    got, again = ({}, {})
+    for out in (got, again):
+        for r in evaluate.random_hits(truth, corpus, 10).orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append((r.rank, r.candidate_id))
+    assert got == again and 999 not in got
+    for q in (10, 40, 90, 130, 1200):
+        earlier = {i for i in made if made[i] < made[q]}
+        own = [c for _, c in got.get(q, [])]
+        assert len(own) == len(set(own)) == min(10, len(earlier)) and set(own) <= earlier
+        assert [r for r, _ in got.get(q, [])] == list(range(1, len(own) + 1))
+    other = {r.candidate_id for r in evaluate.random_hits(truth, corpus, 10, seed=5).where("query_id = 1200").collect()}
+    assert other != {c for _, c in got[1200]}
+
+
+def test_random_draws_are_even(spark):
+    corpus = spark.range(20).select("id", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(least(id, 19) as int), 0, 0)").alias("created_at"))
+    many = spark.range(1000, 1400).select("id", F.lit("2025-01-01").cast("timestamp_ntz").alias("created_at")).union(corpus)
+    rows = evaluate.random_hits(spark.range(1000, 1400).select(F.col("id").alias("duplicate"), F.lit(0).alias("canonical")), many, 5).groupBy("candidate_id").count().collect()
+    assert len(rows) == 20 and all(60 < r["count"] < 145 for r in rows)  # 100 each on average
+
+
 def test_self_is_removed_after_the_depth(spark):
     truth = spark.createDataFrame([(5, 1), (6, 1), (7, 2), (8, 3)], PAIRS)
     hits = spark.createDataFrame([(5, 5, 1.0, 1), (5, 1, 0.9, 2), (6, 9, 1.0, 1), (6, 6, 1.0, 2), (6, 1, 1.0, 3)], HITS)
@@ -59,7 +89,3 @@ def test_label_metrics(spark):
     r = labels.label_metrics(pred, gold).first()
     assert (r.issues_scored, r.precision, r.recall, r.f1, r.any_correct) == (3, 0.3333, 0.25, 0.2857, 0.3333)
 
-
-def test_formatted():
-    line = evaluate.formatted("dense", {"recall_1": 0.123, "recall_10": 0.27777, "mrr": 0.1627, "n": 504, "p50": 32.1})
-    assert line == "dense                  recall@1 0.1230 recall@10 0.2778  mrr 0.1627  (n=504)  p50 32.1ms"
