@@ -105,26 +105,73 @@ def test_quality_counts(docs, data):
     assert got == Counter((i, *brute.quality(t)) for i, t, *_ in data)
 
 
+def made(rng, n, first, source, word, words=80):
+    return [(first + i, " ".join(word(rng) for _ in range(words)), "en", source) for i in range(n)]
+
+
+PLAIN = lambda rng: f"w{rng.randrange(10**6)}" + ("," if rng.random() < 0.1 else "")
+HASHED = lambda rng: f"w{rng.randrange(10**6)}" + "##" * (rng.random() < 0.8)
+JUNK = lambda rng: f"w{rng.randrange(10**6)}$$$"
+LOUD = lambda rng: f"LOUD{rng.randrange(10**6)}!!"
+QUALITY = "doc_id long, text string, lang string, source string"
+
+
+def verdicts(spark, rows):
+    return {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, QUALITY)).collect()}
+
+
 def test_quality_fences(spark):
     rng = random.Random(1)
-    clean = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(80)), "en", "hot") for i in range(300)]
-    junk = [(1000 + i, " ".join(f"w{rng.randrange(10**6)}$$$" for _ in range(80)), "en", "hot") for i in range(30)]
-    loud = [(2000 + i, " ".join(f"LOUD{rng.randrange(10**6)}!!" for _ in range(80)), "en", "rare") for i in range(3)]
-    # where symbols are usual, the threshold rises
-    usual = [(3000 + i, " ".join(f"w{rng.randrange(10**6)}" + "#" * (rng.random() < 0.4) for _ in range(80)), "en", "code") for i in range(300)]
-    out = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(clean + junk + loud + usual, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(out[i] for i, *_ in clean + usual) and not any(out[i] for i, *_ in junk + loud)
+    clean, junk, loud = made(rng, 300, 0, "hot", PLAIN), made(rng, 30, 1000, "hot", JUNK), made(rng, 3, 2000, "rare", LOUD)
+    usual = made(rng, 300, 3000, "code", HASHED)  # where marks are usual, the threshold rises
+    odd = made(rng, 5, 4000, "hot", HASHED)  # the same texts elsewhere: no constant could judge both right
+    out = verdicts(spark, clean + junk + loud + usual + odd)
+    assert all(out[i] for i, *_ in clean + usual) and not any(out[i] for i, *_ in junk + loud + odd)
+
+
+@pytest.mark.parametrize("word", [JUNK, LOUD, lambda rng: rng.choice("abcdefghijklmnop") + rng.choice("qrstuvwxyz"), lambda rng: rng.choice(["spam", PLAIN(rng), PLAIN(rng)])])
+@pytest.mark.parametrize("share", [0.3, 0.4])
+def test_junk_cannot_widen_its_own_fence(spark, word, share):
+    """A hot source of which much is junk of one kind; elsewhere there is little."""
+    rng = random.Random(2)
+    n = int(1000 * share)
+    junk, clean = made(rng, n, 0, "hot", word), made(rng, 1000 - n, 10_000, "hot", PLAIN) + made(rng, 600, 20_000, "other", PLAIN)
+    out = verdicts(spark, junk + clean)
+    assert not any(out[i] for i, *_ in junk) and sum(out[i] for i, *_ in clean) >= 0.995 * len(clean)
+
+
+def test_small_groups_borrow_smoothly(spark):
+    """The fence of a group moves from its language's to its own with its size, on both sides of PRIOR."""
+    rng = random.Random(3)
+    fences = []
+    for n in (1, 5, 12, 19, 20, 21, 26, 200):
+        rows = made(rng, 2000, 0, "main", PLAIN, 50) + made(rng, n, 10_000, "code", HASHED, 50)
+        fences.append(next(r.f_punctuation for r in quality.judge(spark.createDataFrame(rows, QUALITY)).where("source = 'code'").collect()))
+    steps = np.diff(fences)
+    assert fences[-1] > 2 * fences[0] and (steps >= -25).all() and (abs(steps[:6]) <= 45).all()  # no jump at any size
+
+
+def test_keep_agrees_with_judge_row_by_row(spark):
+    """Rows of one id and text in two sources may be judged differently; keep follows."""
+    rng = random.Random(4)
+    rows = made(rng, 300, 0, "hot", PLAIN) + made(rng, 300, 1000, "code", HASHED)
+    rows += [(1000, rows[300][1], "en", "hot"), (1000, rows[300][1], "en", "code"), (None, rows[0][1], None, None), (5, None, "en", "hot")]
+    docs = spark.createDataFrame(rows, QUALITY)
+    judged = quality.judged(common.stored(quality.measure(docs.select("doc_id", "lang", "source", "text")), "m"))
+    want = Counter((r.doc_id, r.lang, r.source) for r in judged.where("kept").collect())
+    assert Counter((r.doc_id, r.lang, r.source) for r in quality.keep(docs).collect()) == want
+    assert want[1000, "en", "code"] == 2 and want[1000, "en", "hot"] == 0
 
 
 def test_quality_keep(docs, data):
     kept = some(quality.judge(docs).where("kept"), "doc_id")
     out = quality.keep(docs)
-    assert out.columns == docs.columns
+    assert out.dtypes == docs.dtypes
     assert some(out, "doc_id") == kept
 
 
 def test_sketch_buckets(spark):
-    v = [0, 1, 31, 32, 63, 64, 65, 1000, 12345, 10**9]
+    v = [0, 1, 31, 255, 511, 512, 1001, 12345, 10**9]
     out = [r.b for r in spark.createDataFrame([(x,) for x in v], "v long").select(quality.bucket(F.col("v")).alias("b")).collect()]
     assert out[:5] == v[:5] and all(b <= x <= b * (1 + 2**-quality.BITS) + 1 for x, b in zip(v, out))
 
