@@ -2,16 +2,17 @@
 
 Three fixed patterns give the base spans. Beside them a small lexer reads source and
 configuration syntax (``name = "literal"``, ``"name": "literal"``, ``name: literal``,
-``name => literal``, ``cfg["name"] = ...``, keyword arguments, concatenations with ``+``)
+``name => literal``, ``cfg["name"] = ...``, keyword arguments, concatenations with ``+``, literals
+handed to a call, ``<name>literal</name>``, ``key="name" value="literal"`` and ``name: n`` before ``value: literal``)
 into name-literal pairs, propagates constants through names (``x = "..."; password = x``),
 and scores each literal by how sensitive its target's name is. Literals that score at
 least THRESHOLD and lie in no base span are added as spans of kind ``lexed``.
 
-A name is at most LONGEST_NAME characters before its operator. Every assignment to a name is a
-definition of its own. A plain reference stands for each definition of its name in turn; in a joined
-value a reference stands for the nearest definition above (the first one below if there is none), and
-its other definitions take that place one at a time. Whatever a sensitive target reaches through names, at any
-depth and in any order, is also judged as a value of its own.
+Every assignment to a name is a definition of its own. A reference stands for the definitions of its name above it,
+any of which may be in force there, as branches are not followed; only where there is none above, for those below. In a
+joined value it stands for the nearest of them, and the others take that place one at a time. Whatever a
+sensitive target reaches through names, at any depth, is also judged as a value of its own. Names, chains and
+joined values may be of any length.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned alike;
 texts of any length are scanned whole; other columns are not looked at.
@@ -62,14 +63,19 @@ PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
 SCHEMES = {"bearer", "basic", "token", "digest", "apikey"}
 
 OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+*/%&|^~-])=(?![=>~])|(?<![:\w]:)(?<!:):(?![:/=])")
-NAME_BEFORE = re.compile(r"""([A-Za-z_$][\w$.-]*)["'`]?(?:\s?\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]]*[ \t]*)?$""")
-#: A name longer than this is prose, not a name.
-LONGEST_NAME = 160
+#: What stands before an operator, read backwards: a type, closing brackets and quotes, then the name.
+NAME_BEFORE = re.compile(r"""[ \t]*(?:[\w.\[\]]*[A-Za-z_][ \t]*:[ \t]*)??(?:\]\s?)?["'`]?([\w$.-]*[A-Za-z_$])""")
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)>([^<>\n]{8,})</\1>")
+#: Pairs of names that hold a pair in two: the target's name first, then its value.
+NAMING, VALUED = {"key", "name", "id"}, {"value", "default"}
+BETWEEN = re.compile(r"""["'`]?[\s,;]*(?:- )?["'`]?""")
+ENVIRONMENT = re.compile(r"[A-Z][A-Z0-9_]*")
 STRING = re.compile(
     r'''[rbfuRBFU]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|'(?P<d>(?:[^'\\\n]|\\.)*)'|`(?P<e>[^`]*)`)''',
     re.DOTALL,
 )
 REFERENCE = re.compile(r"[A-Za-z_$][\w$.]*(?![\w$.(\[])")
+CALL = re.compile(r"[A-Za-z_$][\w$.]*\(")
 BARE = re.compile(r"""[^\s,;#"'`()\[\]{}<>]+""")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.)?[ \t]*(?:\\?\n[ \t]*)?")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -125,17 +131,37 @@ def strength(value: str, weight: float = 0.0) -> float:
     return best
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """(target name, literals, names referred to), both as (value, start, end), for each assignment."""
-    after = 0
+def handed(text: str, at: int) -> list[tuple[str, int, int]]:
+    """The string literals among the arguments of the call that opens at `at`, on one line and before the next operator
+    (what follows a keyword is an assignment of its own), that are no names of variables."""
+    found, depth = [], 0
+    while at < len(text) and text[at] not in "\n=:":
+        if m := STRING.match(text, at):
+            group = m.lastgroup
+            if mixed(m[group]) and not ENVIRONMENT.fullmatch(m[group]):
+                found.append((m[group], m.start(group), m.end(group)))
+            at = m.end()
+            continue
+        depth += (text[at] == "(") - (text[at] == ")")
+        at += 1
+        if not depth:
+            break
+    return found
+
+
+def pairs(text: str) -> Iterator[tuple[int, str, list[tuple[str, int, int]], list[tuple[str, int, int]], bool]]:
+    """(place, target name, literals, names referred to, whether the literals make one value), literals and names as
+    (value, start, end), for each assignment. Linear: no operator looks back beyond the one before the last."""
+    after, ends, naming = 0, (0, 0), None
     for op in OPERATOR.finditer(text):
+        low, ends = max(after, ends[0]), (ends[1], op.end())
         if op.start() < after:  # inside a literal that was read already
             continue
-        low = max(after, op.start() - LONGEST_NAME)
-        name = NAME_BEFORE.search(text, low, op.start())
+        name = NAME_BEFORE.match(text[low : op.start()][::-1])
         if not name:
             continue
-        at, literals, names = op.end(), [], []
+        target, begun = name[1][::-1], op.start() - name.end()
+        at, literals, names, one = op.end(), [], [], True
         while at < len(text) and text[at] in " \t":
             at += 1
         while True:
@@ -147,6 +173,9 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tup
                 if not literals and len(names) == 1 and (b := BARE.match(text, at)) and b.end() > m.end():
                     names, m = [], b  # a bare value such as KEY=abc/def
                     literals.append((m[0], m.start(), m.end()))
+            elif not literals and not names and (m := CALL.match(text, at)):
+                literals, one = handed(text, m.end() - 1), False
+                break
             elif not literals and not names and (m := BARE.match(text, at)):
                 literals.append((m[0], m.start(), m.end()))
             else:
@@ -157,32 +186,43 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[tup
                 break
             at = glue.end()
         if literals or names:
-            after = max(after, literals[-1][2]) if literals else after
-            yield name[1], literals, names
+            if literals and one:
+                after = max(after, literals[-1][2])
+            if naming and target.lower() in VALUED and BETWEEN.fullmatch(text, naming[1], begun):
+                target = naming[0]
+            whole = literals[0] if len(literals) == 1 and not names else names[0] if len(names) == 1 and not literals else None
+            naming = (whole[0], whole[2]) if whole and target.lower() in NAMING else None
+            yield op.start(), target, literals, names, one
+    for m in ELEMENT.finditer(text):
+        yield m.start(), m[1], [(m[2], m.start(2), m.end(2))], [], True
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose target, direct or through constants, is sensitive."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
-    found = list(pairs(text))
-    weights = [sensitivity(name) for name, _, _ in found]
+    found = sorted(pairs(text), key=lambda x: x[0])
+    weights = [sensitivity(name) for _, name, *_ in found]
     if not any(weights):
         return []
     defined: dict[str, list[int]] = {}
-    for i, (name, _, _) in enumerate(found):
+    for i, (_, name, *_) in enumerate(found):
         defined.setdefault(name, []).append(i)
     # a lone name that the text does not define is a bare value, as in KEY=abc123
-    nodes = [(names, []) if not literals and len(names) == 1 and names[0][0] not in defined else (literals, [x for x, _, _ in names if x in defined]) for _, literals, names in found]
+    nodes = [(names, []) if not literals and len(names) == 1 and names[0][0] not in defined else (literals, [x for x, _, _ in names if x in defined]) for _, _, literals, names, _ in found]
 
-    def nearest(name: str, i: int) -> int:
-        """The definition of name that node i sees."""
+    def reaching(name: str, i: int) -> tuple[int, int]:
+        """Which part of defined[name] node i sees: those above it, else those below."""
         at = defined[name]
         k = bisect_left(at, i)
-        return at[k - 1] if k else next((x for x in at if x != i), i)
+        return (0, k) if k else (int(at[0] == i), len(at))
+
+    def nearest(name: str, i: int) -> int:
+        a, b = reaching(name, i)
+        return i if a == b else defined[name][a if defined[name][a] > i else b - 1]
 
-    def joined(i: int, swapped: str = "", by: int = -1) -> list[tuple[str, int, int]]:
-        """The literals of node i's value, each node once; `by` stands for the name `swapped` in it."""
+    def joined(i: int, swapped: str = "", by: int = -1) -> tuple[list[tuple[str, int, int]], set[int]]:
+        """The literals of node i's value, each node once, and its nodes; `by` stands for the name `swapped` in it."""
         value, seen, left = [], set(), [i]
         while left:
             k = left.pop()
@@ -190,20 +230,25 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                 seen.add(k)
                 value += nodes[k][0]
                 left += [by if k == i and x == swapped else nearest(x, k) for x in nodes[k][1]]
-        return sorted(value, key=lambda x: x[1])
+        return sorted(value, key=lambda x: x[1]), seen
 
-    flagged = set()
+    flagged: set[tuple[int, int]] = set()
 
-    def flag(value: list[tuple[str, int, int]], weight: float) -> None:
+    def flag(value: list[tuple[str, int, int]], weight: float) -> bool:
+        """Whether the value as a whole is a secret; its literals are flagged then."""
         if value and weight * strength("".join(v for v, _, _ in value), weight) >= THRESHOLD:
             # a bare word after the name and a colon is prose unless it mixes in digits
-            flagged.update((a, b) for v, a, b in value if b > a and (text[a - 1 : a] in ('"', "'", "`") or any(c.isdigit() for c in v)))
-        elif len(value) > 1 and any(c.isspace() for v, _, _ in value for c in v):
+            flagged.update((a, b) for v, a, b in value if b > a and (text[a - 1 : a] in ('"', "'", "`", ">") or any(c.isdigit() for c in v)))
+            return True
+        if len(value) > 1 and any(c.isspace() for v, _, _ in value for c in v):
             for x in value:  # a part with white space does not speak for the others
                 flag([x], weight)
+        return False
 
-    seen, opened = set(), set()  # the most sensitive targets go first, so each node is judged once, by its greatest weight
-    for top in sorted((i for i, w in enumerate(weights) if w), key=lambda i: -weights[i]):
+    # The most sensitive targets go first, of equal ones the last: each node is judged once, by its greatest weight, and one
+    # that is part of a flagged value needs no judging.
+    seen, told, opened = set(), set(), {}
+    for top in sorted((i for i, w in enumerate(weights) if w), key=lambda i: (-weights[i], -i)):
         left = [top]
         while left:
             i = left.pop()
@@ -211,16 +256,23 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                 continue
             seen.add(i)
             literals, names = nodes[i]
-            if literals or len(names) > 1:
-                flag(joined(i), weights[top])
+            if not found[i][4]:
+                for x in literals:
+                    flag([x], weights[top])
+            elif (literals or len(names) > 1) and i not in told:
+                value, parts = joined(i)
+                if flag(value, weights[top]):
+                    told |= parts
                 for x in dict.fromkeys(names):
-                    for other in defined[x]:
-                        if other not in (i, nearest(x, i)):
-                            flag(joined(i, x, other), weights[top])
+                    a, b = reaching(x, i)
+                    for other in defined[x][a:b]:
+                        if other != nearest(x, i):
+                            flag(joined(i, x, other)[0], weights[top])
             for x in names:
-                if x not in opened:
-                    opened.add(x)
-                    left += defined[x]
+                a, b = reaching(x, i)
+                low, high = opened.get(x, (a, a))
+                left += defined[x][min(a, low) : low] + defined[x][max(a, high) : b]
+                opened[x] = (min(a, low), max(b, high))
     return sorted(flagged)
 
 
