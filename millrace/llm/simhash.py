@@ -3,19 +3,21 @@
 Fingerprints: words of the text with A-Z lower-cased, SHINGLE-word shingles with repeats,
 XXH64 (seed 42) of each; a bit is set if it is set in over half of the hashes.
 
-Links join fingerprints that differ in at most NEAR bits. A fingerprint is cut into 16
-segments of 4 bits and mapped to their bit counts. The Manhattan distance of two such
-vectors, and of sums of their parts, never exceeds the number of differing bits, so
-
-- of the 4 quarters of the vector at least one agrees exactly (NEAR < 4), and
-- the bit counts of each of the other quarters differ by at most the distance.
-
-The grid: one cell for each quarter, its exact vector of 4 counts, and the other quarters'
-counts divided by a cell width of NEAR + 1. A fingerprint is put into its home cell and, as a
-guest, into neighbour cells that the ball of radius NEAR reaches. Inside a cell,
-candidates are compared in blocks under the Manhattan bound and then exactly; only links of a
-spanning forest leave it, so a large group of near copies gives as many links as members.
-A cell is never collected as documents: it holds each distinct fingerprint once.
+Links join fingerprints that differ in at most NEAR bits. A fingerprint is cut into segments and mapped to
+their bit counts, all in one word (the vector of counts, as one 64-bit number). The Manhattan distance
+of two vectors is never over the number of differing bits, so of `parts` runs of segments at most NEAR differ:
+
+- the grid: a cell for each choice of parts - NEAR runs, whose counts agree exactly in it;
+- the range: within a cell, fingerprints are sorted by the bit count of the other runs, and only those at most NEAR
+  apart in it meet; of these, those whose Manhattan distance over the other runs is at most NEAR are candidates;
+- candidates are compared bit by bit.
+
+Segments and runs are chosen from the number of fingerprints, so that CELL of them share a cell by chance: a finer
+grid costs more cells for each, and the candidates of one stay bounded by cells times CELL as the data grow. The
+result is the same with any grid. Cells of over MOST fingerprints are split, and each pair of their blocks meets
+in a task of its own, so no task holds more than two blocks of a cell; cells of one are dropped before they move. Only links
+of a spanning forest leave a task, so a large group of near copies gives about as many links as members.
+No cell holds documents: each distinct fingerprint is in it once.
 
 Defined results: texts without words have fingerprint zero and link like any other; fewer
 words than SHINGLE form one shingle; a null text is empty; copies, repeated rows and ties
@@ -29,19 +31,19 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import common
 from millrace.llm.components import components
-from millrace.llm.hashing import mixed
 
 SHINGLE, SEED, NEAR = 3, 42, 3
-SEGMENTS, QUARTERS = 16, 4
-#: Fingerprints compared at a time with a block of others.
-BLOCK = 2048
-#: So many distinct fingerprints for each group of cells: the number of groups follows the data.
-FINGERPRINTS_A_BUCKET = 4000
+#: Grids from coarse to fine: bits of a segment, runs of segments. Their cells' keys hold about 8, 12, 18, 22, 25 and 30
+#: bits of information (a 4-bit segment's count has 2.03, a 2-bit segment's 1.5).
+GRIDS = ((4, 4, 8), (2, 4, 12), (2, 5, 18), (2, 6, 22), (2, 7, 25), (2, 8, 30))
+#: Fingerprints that share a cell by chance; those that a block of a cell holds at most, about; entries of one task, about.
+CELL, MOST, ENTRIES = 8, 20_000, 200_000
 
 
 def fingerprint(data: bytes, hash_=xxhash.xxh64_intdigest) -> int:
@@ -58,119 +60,142 @@ def fingerprint(data: bytes, hash_=xxhash.xxh64_intdigest) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, key and fp, a signed long, for each row; no exchange."""
+def fingerprints(rows: DataFrame, text_of, keep: int) -> DataFrame:
+    """The first `keep` columns of rows and fp, a signed long; no exchange."""
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
         for batch in common.slices(batches):
-            fp = np.array([fingerprint(t) for t in common.bytes_of(batch.column(2))], np.uint64)
-            yield common.batch_of(schema, doc_id=batch.column(0), key=batch.column(1), fp=common.signed(fp))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, fp long")
-
-
-def counts(fp: np.ndarray) -> np.ndarray:
-    """n x SEGMENTS bit counts of 4-bit segments."""
-    nibbles = (fp[:, None] >> np.arange(0, 64, 64 // SEGMENTS, dtype=np.uint64)) & np.uint64(15)
-    return np.bitwise_count(nibbles)
-
-
-def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, home, place in fp): the home cells, and the cells that the ball of radius NEAR
-    reaches. Of two opposite steps one suffices, since links are symmetric."""
-    c = counts(fp).reshape(-1, QUARTERS, SEGMENTS // QUARTERS).astype(np.int64)
-    total = c.sum(axis=2)
-    width = NEAR + 1
-    exact = (c * 5 ** np.arange(SEGMENTS // QUARTERS)).sum(axis=2)
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=QUARTERS - 1) if s >= (0,) * (QUARTERS - 1)]
-    out_cell, out_home, out_at, at = [], [], [], np.arange(len(fp))
-    for q in range(QUARTERS):
-        rest = np.delete(total, q, axis=1)
-        base, down, up = rest // width, rest % width + 1, width - rest % width
-        for step in steps:
-            s = np.array(step)
-            near = (np.where(s < 0, down, 0) + np.where(s > 0, up, 0)).sum(axis=1) <= NEAR
-            near &= ((base + s) >= 0).all(axis=1)
-            cell = exact[near, q]
-            for g in (base[near] + s).T:
-                cell = cell * 8 + g
-            out_cell.append(cell * QUARTERS + q)
-            out_home.append(np.full(len(cell), not any(step)))
-            out_at.append(at[near])
-    return np.concatenate(out_cell), np.concatenate(out_home), np.concatenate(out_at)
-
-
-def linked(home: np.ndarray, everyone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest between home fingerprints and everyone in the cell, home included.
-
-    Both are sorted by bit count, so only a band of everyone can be within NEAR."""
-    size, mine = (np.bitwise_count(x).astype(np.int8) for x in (everyone, home))
-    half = np.uint64(0xFFFFFFFF)
-    low_size, low_mine = (np.bitwise_count(x & half).astype(np.int8) for x in (everyone, home))
-    order = np.argsort(everyone, kind="stable")
-    place = order[np.searchsorted(everyone, home, sorter=order)]
-    root = np.arange(len(everyone))
-    for at in range(0, len(home), 64):
-        x = home[at : at + 64]
-        low, high = np.searchsorted(size, mine[at] - NEAR), np.searchsorted(size, mine[min(at + 64, len(home)) - 1] + NEAR, side="right")
-        for begin in range(low, high, BLOCK):
-            y = slice(begin, min(begin + BLOCK, high))
-            # Manhattan distance of the two halves' counts: a lower bound of the differing bits
-            first = np.abs(low_mine[at : at + 64, None] - low_size[y][None])
-            rest = np.abs((mine - low_mine)[at : at + 64, None] - (size - low_size)[y][None])
-            near = first + rest <= NEAR
-            near &= np.bitwise_count(x[:, None] ^ everyone[y][None]) <= NEAR
-            for i in np.flatnonzero(near.sum(axis=1) > 0):
-                others = root[np.flatnonzero(near[i]) + begin]
-                own = root[place[at + i]]
-                if (others != own).any():
-                    trees = np.unique(np.append(others, own))
-                    root[np.isin(root, trees)] = trees[0]
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return everyone[moved], everyone[root[moved]]
-
-
-def links(distinct: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): links that connect all fingerprints within NEAR bits of each other. distinct:
-    column fp, each once. buckets: cells are dealt by hash into so many groups."""
-
-    def dealt(batches):
-        schema = pa.schema([("bucket", pa.int32()), ("cell", pa.binary()), ("fp", pa.binary()), ("home", pa.binary())])
-        for batch in common.slices(batches, 1 << 14):
-            fp = common.unsigned(batch.column(0).to_numpy().copy())
-            cell, home, at = cells(fp)
-            bucket = mixed(cell.astype(np.uint64)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, cell, home, points = bucket[order], cell[order].astype(np.int32), home[order], fp[at[order]]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(edge))
-            part = lambda x: [x[edge[b] : edge[b + 1]].tobytes() for b in full]
-            yield common.batch_of(schema, bucket=full.astype(np.int32), cell=part(cell), fp=part(points), home=part(home))
-
-    def met(group: pa.Table) -> pa.Table:
-        cell, fp, home = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("cell", np.int32), ("fp", np.uint64), ("home", bool)))
-        order = np.lexsort((np.bitwise_count(fp), cell))
-        cell, fp, home = cell[order], fp[order], home[order]
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
-        found = [linked(fp[a:b][own], fp[a:b]) for a, b in zip(edge, edge[1:]) if b - a > 1 and (own := home[a:b]).any()]
-        a, b = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.uint64)]) for i in (0, 1))
+            fp = np.array([fingerprint(t) for t in common.bytes_of(text_of(batch))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(common.signed(fp))], schema=pa.schema([*list(batch.schema)[:keep], pa.field("fp", pa.int64())]))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:keep], T.StructField("fp", T.LongType())]))
+
+
+#: Every second bit, and every second pair of bits.
+ODD, PAIRS = 0x5555555555555555, 0x3333333333333333
+
+
+class Grid:
+    """The segments, runs and cells of one grid."""
+
+    def __init__(self, segment: int, parts: int):
+        self.segment, self.parts = segment, parts
+        edge = [round(i * (64 // segment) / parts) * segment for i in range(parts + 1)]
+        self.runs = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edge, edge[1:])]
+        #: For each kind of cell: the mask of the runs that agree, and the other runs' masks.
+        self.kinds = [(sum(self.runs[i] for i in same), [r for i, r in enumerate(self.runs) if i not in same]) for same in itertools.combinations(range(parts), parts - NEAR)]
+
+    def embedded(self, fp: Column) -> Column:
+        """The bit counts of all segments, each in its segment's place."""
+        low = lambda c, mask: c.bitwiseAND(F.lit(mask))
+        after = F.shiftrightunsigned(fp, 1)
+        # of two bits: both set is 2, one set is 1; without a subtraction, which could overflow
+        two = F.shiftleft(low(fp.bitwiseAND(after), ODD), 1).bitwiseOR(low(fp.bitwiseXOR(after), ODD))
+        return two if self.segment == 2 else low(two, PAIRS) + low(F.shiftrightunsigned(two, 2), PAIRS)
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def grid_for(n: int) -> Grid:
+    return Grid(*next((g for g in GRIDS if n <= CELL << g[2]), GRIDS[-1])[:2])
+
+
+def cells(distinct: DataFrame, grid: Grid) -> DataFrame:
+    """(kind, key, fp): the cells of each fingerprint, as expressions."""
+    point = grid.embedded(F.col("fp"))
+    each = F.array(*[F.struct(F.lit(i).alias("kind"), F.col("point").bitwiseAND(F.lit(signed(mask))).alias("key")) for i, (mask, _) in enumerate(grid.kinds)])
+    return distinct.select("fp", point.alias("point")).select("fp", F.explode(each).alias("x")).select("x.kind", "x.key", "fp")
+
+
+class Forest:
+    """Which of n nodes are joined; the links that joined them."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if not len(a):
+                return
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            _, first = np.unique(high, return_index=True)  # one link for each root that gives way
+            self.root[high[first]] = low[first]
+            self.links.append((a[first], b[first]))
+            while (self.root != (up := self.root[self.root])).any():
+                self.root = up
+
+
+def met(fp: np.ndarray, cell: np.ndarray, side: np.ndarray, crossed: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links (a, b) of a spanning forest of the fingerprints that meet in cells, and how many pairs were candidates.
+
+    cell: a number for each cell or pair of blocks; in crossed ones only entries of different sides meet; rest: the masks of
+    the other runs, for each entry. Sorted by cell and the rest's bit count, the entries that can meet an entry
+    follow it, up to a distance that is found by trying: those still in reach get fewer with each step."""
+    total = sum(np.bitwise_count(fp & m).astype(np.int64) for m in rest)
+    order = np.lexsort((total, cell))
+    fp, cell, side, crossed, total, rest = fp[order], cell[order], side[order], crossed[order], total[order], [m[order] for m in rest]
+    count = [np.bitwise_count(fp & m).astype(np.int8) for m in rest]
+    known, node = np.unique(fp, return_inverse=True)
+    forest, tried = Forest(len(known)), 0
+    alive, step = np.arange(len(fp)), 0
+    while len(alive):
+        step += 1
+        alive = alive[alive + step < len(fp)]
+        other = alive + step
+        near = (cell[alive] == cell[other]) & (total[other] - total[alive] <= NEAR)
+        alive, other = alive[near], other[near]
+        able = (~crossed[alive] | (side[alive] != side[other])) & (forest.root[node[alive]] != forest.root[node[other]])
+        a, b = alive[able], other[able]
+        distance = sum(np.abs(c[a] - c[b]) for c in count)  # Manhattan: a lower bound of the differing bits
+        a, b = a[distance <= NEAR], b[distance <= NEAR]
+        tried += len(a)
+        same = np.bitwise_count(fp[a] ^ fp[b]) <= NEAR
+        forest.join(node[a[same]], node[b[same]])
+    a, b = (np.concatenate([x[i] for x in forest.links] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    return known[a], known[b], tried
+
+
+def links(distinct: DataFrame, n: int, most: int = 0, grid: Grid | None = None) -> DataFrame:
+    """(a, b): links that connect all fingerprints within NEAR bits of each other. distinct: column fp, each once, a table; n: how many."""
+    grid, most = grid or grid_for(n), most or MOST
+    every = cells(distinct, grid)
+    shared = every.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A cell of n is cut into k blocks; block i meets each block j, in the task of (least, greatest). k = 1 for most cells.
+    cut = every.join(shared, ["kind", "key"]).select("kind", "key", "fp", F.ceil(F.col("n") / most).cast("int").alias("k"))
+    cut = cut.withColumn("side", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pair = cut.select("kind", "fp", "side", F.xxhash64("kind", "key", F.least("side", "j"), F.greatest("side", "j")).alias("cell"), (F.col("side") != F.col("j")).alias("moved"))
+    tasks = max(16, n * len(grid.kinds) // ENTRIES)
+    masks = np.array([other for _, other in grid.kinds], np.uint64)
+
+    def run(group: pa.Table) -> pa.Table:
+        kind, side, cell, moved = (group.column(c).to_numpy() for c in ("kind", "side", "cell", "moved"))
+        fp = common.unsigned(group.column("fp").to_numpy().copy())
+        # a pair of different blocks has entries with `moved` set; all of it is crossed then
+        _, ids = np.unique(cell, return_inverse=True)
+        crossed = np.bincount(ids, weights=moved.astype(np.float64))[ids] > 0
+        a, b, _ = met(fp, cell, side, crossed, [masks[kind, i] for i in range(masks.shape[1])])
         return pa.table({"a": pa.array(common.signed(a), pa.int64()), "b": pa.array(common.signed(b), pa.int64())})
 
-    return distinct.select("fp").mapInArrow(dealt, "bucket int, cell binary, fp binary, home binary").groupBy("bucket").applyInArrow(met, "a long, b long")
+    return pair.groupBy(F.pmod("cell", F.lit(tasks)).alias("task")).applyInArrow(run, "a long, b long")
 
 
-def labelled(prints: DataFrame) -> DataFrame:
-    """fp, first (least (doc_id, key) of the fingerprint) and root (the component's, a fingerprint)."""
-    each = common.stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("v"), "doc_id", "key")).alias("first")), "distinct")
-    roots = components(links(each, max(64, each.count() // FINGERPRINTS_A_BUCKET)))
+def labelled(prints: DataFrame, *first: str) -> DataFrame:
+    """fp, first (the least row of the fingerprint by doc_id, nulls last, then the columns of `first`) and root (the component's, a fingerprint)."""
+    each = common.stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("v"), "doc_id", *first)).alias("first")), "distinct")
+    roots = components(links(each.select("fp"), each.count()))
     return each.join(roots, each.fp == roots.node, "left_outer").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id for each row of docs."""
-    prints = common.stored(fingerprints(docs), "fingerprints")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = common.stored(fingerprints(rows, lambda batch: batch.column(1), 1), "fingerprints")
     each = common.stored(labelled(prints), "labelled")
     first = each.groupBy("root").agg(F.min("first").alias("x")).select(F.col("root").alias("r"), F.col("x.doc_id").alias("component_id"))
     ids = each.join(first, each.root == first.r).select(F.col("fp").alias("f"), "component_id")
@@ -178,8 +203,15 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of its least doc_id, by key on ties. All columns stay."""
-    name = common.free_name(docs, "__key")
-    each = labelled(common.stored(fingerprints(docs), "fingerprints"))
-    chosen = common.stored(each.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.key").alias(name)), "chosen")
-    return docs.withColumn(name, F.xxhash64("doc_id", "text")).join(chosen, name, "left_semi").dropDuplicates([name]).drop(name)
+    """docs with one row of each component, that of its least doc_id; all columns stay. Of several rows with that id the one with
+    the least fingerprint stays, then the first as the table was read.
+
+    Rows are kept whole in a table with a number, and the chosen numbers are looked up there; texts are not exchanged."""
+    place = docs.columns.index("text")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("number"))
+    prints = common.stored(fingerprints(rows, lambda batch: batch.column(0).field(place), 3), "fingerprints")
+    each = labelled(prints.select("fp", "doc_id", "number"), "number")
+    chosen = common.stored(each.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.number").alias("c_number")), "chosen")
+    kept = prints.join(chosen, prints.number == chosen.c_number, "left_semi")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

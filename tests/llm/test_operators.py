@@ -450,14 +450,16 @@ def test_simhash(docs, data):
     assert simhash.grouped(docs).count() == len(data)
 
 
-def test_grid_join_finds_all_links(spark):
+@pytest.mark.parametrize("how", [(), (5,), *[(0, simhash.Grid(*g[:2])) for g in simhash.GRIDS[1:]], (9, simhash.Grid(2, 5))])
+def test_grid_join_finds_all_links(spark, how):
+    """With every grid, and with cells cut into small blocks."""
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, k, replace=False)) for b in base for k in (1, 2, 3, 4)]
     dense = [int(base[0]) ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)]
     fps = sorted({*map(int, base), *near, *dense, 0, 2**64 - 1})
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    links = [(r.a, r.b) for r in simhash.links(df, 16).collect()]
+    links = [(r.a, r.b) for r in simhash.links(df, len(fps), *how).collect()]
     root = {f: f for f in fps}
 
     def find(x):
@@ -483,6 +485,33 @@ def test_grid_join_finds_all_links(spark):
     assert classes(got, None) == classes({f: find2(f) for f in fps}, None)
 
 
+@pytest.mark.parametrize("segment, parts, _", simhash.GRIDS)
+def test_embedding_counts_bits(spark, segment, parts, _):
+    rng = np.random.default_rng(2)
+    fps = [0, 2**64 - 1, *map(int, rng.integers(0, 2**63, 40, dtype=np.uint64))]
+    grid = simhash.Grid(segment, parts)
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    for r in df.select("fp", grid.embedded(F.col("fp")).alias("e")).collect():
+        f, e = r.fp % 2**64, r.e % 2**64
+        assert all((e >> b) & (2**segment - 1) == ((f >> b) & (2**segment - 1)).bit_count() for b in range(0, 64, segment))
+    assert sum(grid.runs) == 2**64 - 1 and len(grid.runs) == parts
+
+
+def test_candidates_grow_slowly():
+    """Random fingerprints: candidates by the grid that each number calls for. Over a factor of 64 their power is under 1.3."""
+    rng = np.random.default_rng(3)
+    tried = {}
+    for n in (5_000, 20_000, 80_000, 320_000):
+        fp = rng.integers(0, 2**64, n, dtype=np.uint64)
+        grid = simhash.grid_for(n)
+        two = fp - ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        point = two if grid.segment == 2 else (two & np.uint64(0x3333333333333333)) + ((two >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        none = np.zeros(n, bool)
+        tried[n] = sum(simhash.met(fp, (point & np.uint64(mask)), none, none, [np.full(n, m, np.uint64) for m in rest])[2] for mask, rest in grid.kinds)
+    assert tried[320_000] <= tried[5_000] * 64**1.3
+    assert all(t <= simhash.CELL * len(simhash.grid_for(n).kinds) * n for n, t in tried.items())
+
+
 def test_components(spark):
     rng = random.Random(8)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(60)] + [(500, x) for x in range(501, 560)] + [(7, 7)]
