@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -44,18 +46,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new place in the application's own folder, which goes when the driver's JVM ends."""
+    own = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    if own not in _own:
+        _own.add(own)
+        fs, at = hadoop_fs(spark, own)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_own: set[str] = set()
+#: What stored() wrote within scratch().
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, survives
-    lost executors, and gives the planner a real size. release() removes such tables."""
+    lost executors, and gives the planner a real size. scratch() or release() removes such tables, and the
+    end of the application. lasting: scratch() leaves it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if not lasting and (written := _written.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end the tables that stored() wrote within it, but for lasting ones."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        paths = _written.get()
+        _written.reset(token)
+        for path in paths:
+            fs, at = hadoop_fs(spark, path)
+            fs.delete(at, True)
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """(FileSystem, Path) of the JVM's Hadoop client for path."""
     jvm = spark.sparkContext._jvm

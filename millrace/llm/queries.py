@@ -61,7 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = spark.conf.get(urlfilter.LIST, None)
-    return urlfilter.judge(table(spark, sf_dir, "pages"), *(urlfilter.listed(spark, path) if path else ()))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.listed(spark, path) if path else None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
