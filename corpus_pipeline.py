@@ -50,9 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What a stage wrote for itself goes when its result is written, and that goes
+    when the next one's is; the result of the last stage but one stays for the rows to be read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = common.stored(docs, name)
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with common.scratch(spark):
+            docs = common.stored(stage(spark, docs, sf_dir), name, lasting=True)
+        if before is not None:
+            common.release(spark, before)
+        before = docs
     return docs
