@@ -132,20 +132,24 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.when(good, F.col("w")[0]).otherwise(F.raise_error(F.concat(F.lit(f"{path}: not a rule or label: "), "value"))).alias("kind"), F.get("w", F.lit(1)).alias("entry"))
 
 
-def coded(entries: DataFrame) -> DataFrame:
-    """(kind, key, digest, host, path): each entry once, the string it is found by, and the lengths of its parts."""
+def keyed(entries: DataFrame) -> DataFrame:
+    """(kind, key, host, path): each entry once, the string it is found by, and the lengths of its parts."""
     entry = F.col("entry")
     rows = entries.where(F.col("kind").isin(*KINDS) & entry.isNotNull()).select(
         (F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")) - 1).cast("int").alias("kind"), F.when(F.col("kind") == "label", F.concat(F.lit(" "), F.lower(entry))).otherwise(entry).cast("binary").alias("key"),
         F.when(F.col("kind") == "label", F.octet_length(entry)).otherwise(F.octet_length(F.split_part(entry, F.lit("/"), F.lit(1)))).alias("host"),
     )
-    rows = rows.distinct().select("kind", "key", "host", F.when(F.col("kind") == LABEL, 0).otherwise(F.octet_length("key") - F.col("host")).alias("path"))
+    return rows.distinct().select("kind", "key", "host", F.when(F.col("kind") == LABEL, 0).otherwise(F.octet_length("key") - F.col("host")).alias("path"))
+
+
+def coded(entries: DataFrame) -> DataFrame:
+    """keyed() with the digest of each key."""
 
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests_of(batch.column(1).to_pylist()), pa.int64())], names=["kind", "key", "host", "path", "digest"])
 
-    return rows.mapInArrow(run, "kind int, key binary, host int, path int, digest long")
+    return keyed(entries).mapInArrow(run, "kind int, key binary, host int, path int, digest long")
 
 
 def parted(batches):
@@ -165,13 +169,13 @@ def parted(batches):
 
 def written(spark: SparkSession, entries: DataFrame) -> str:
     """Path of the list's file in the shared folder, which is made if there is none yet."""
+    name = keyed(entries).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("kind", "key")), F.sum(F.xxhash64("key", "kind").cast("decimal(38,0)"))).first()
     with common.scratch(spark):
-        rows = common.stored(coded(entries), "list")
-        name = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("kind", "key")), F.sum(F.xxhash64("key", "kind").cast("decimal(38,0)"))).first()
         path = f"{common.shared_dir(spark)}/millrace-lists/{xxhash.xxh128_hexdigest(repr(tuple(name)))}.digests"
         fs, at = common.hadoop_fs(spark, path)
         if fs.exists(at):
             return path
+        rows = common.stored(coded(entries), "list")
         parts = common.stored(rows.orderBy("digest", "key", "kind").select("key", "kind", "digest").mapInArrow(parted, "part long, n long, digests binary, sizes binary, kinds binary, strings binary"), "sorted").orderBy("part")
         lengths = rows.select("host", "path").distinct().collect()  # as many as there are lengths of hosts and paths
         partial = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{xxhash.xxh64_hexdigest(common.new_path(spark, 'x'))}")

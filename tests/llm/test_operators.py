@@ -558,6 +558,34 @@ def test_rebalancing_edits_the_map(spark):
     assert {r.virtual_slot: r.shard for r in third.collect()} == b and third.first().version == 2
 
 
+def test_the_map_is_kept_and_edited(spark, docs, tmp_path):
+    """A second run on grown data starts from the stored map; only slots of crowded shards move."""
+    store = f"{tmp_path}/map"
+    grown = docs.unionByName(docs.where("doc_id % 2 = 0").withColumn("doc_id", F.col("doc_id") + 10_000)).unionByName(docs.where("doc_id < 30").withColumn("text", F.repeat("text", 20)).withColumn("doc_id", F.col("doc_id") + 20_000))
+    runs = [sharding.placed(d, 4, 64, store).collect() for d in (docs, grown, grown)]
+    maps = [{r.virtual_slot: r.shard for r in sharding.SlotMap(spark, store).read(v).collect()} for v in range(4)]
+    assert [{r.version for r in x} for x in runs] == [{1}, {2}, {3}] and all(len(m) == 64 for m in maps)
+    assert all(r.shard == maps[v + 1][r.virtual_slot] for v, x in enumerate(runs) for r in x)
+    moved = {s for s in range(64) if maps[1][s] != maps[2][s]}
+    assert 0 < len(moved) < 40 and maps[3] == maps[2]  # nothing new: nothing moves
+    was, now = ({(r.doc_id, r.text_crc32): (r.virtual_slot, r.shard) for r in x} for x in runs[:2])
+    assert all(now[k] == v or v[0] in moved for k, v in was.items())
+    with pytest.raises(Exception):
+        sharding.SlotMap(spark, store).read(9).collect()
+
+
+def test_ranges_and_pieces_change_no_place(spark, docs, monkeypatch):
+    many = docs.select("doc_id", "text").unionByName(spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text"))).unionByName(spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")))
+    place = lambda: some(sharding.placed(many, 4, 8), "doc_id", "size", "text_crc32", "shard", "slot")
+    want = place()
+    monkeypatch.setattr(sharding, "RANGE", 3)
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    assert place() == want and sum(want.values()) == many.count()
+    for s in range(4):
+        own = sorted(slot for (*_, shard, slot), n in want.items() if shard == s for _ in range(n))
+        assert own == list(range(len(own)))
+
+
 # ---- 8
 
 def test_bpe(docs, data):
