@@ -16,15 +16,16 @@ it keeps one hash, so its likeness is 0 or 1 there. near_edited_all and near_nex
 give the Jaccard index of the sets of all FINE-character grams, nothing left out, for texts of
 any length; texts of under FINE characters are one gram.
 
-To edit each document with its successor, documents are dealt into ranges of doc_id; the
-first document of each range also goes to the range before. So the texts are exchanged once
-and no task sorts more than a range. Rows with equal ids are ordered by text; null ids come
-first. A single document is its own successor.
+To edit each document with its successor, documents are dealt into ranges of doc_id and, where one id (or none)
+fills several, of a hash of the text; the first document of each range also goes to the range before. So the texts
+are exchanged once and no task sorts more than a range. Rows with equal ids are ordered by XXH64 of the text, then by text;
+null ids come first. Rows that are equal in both stay in one range and are read as a stream. A single document is its own successor.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -99,12 +100,12 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha
 
 
 def compare(batches):
-    """Takes (part, guest, doc_id, text) sorted by part, guest, doc_id, text."""
+    """Takes (part, guest, doc_id, h, text) in this order."""
     last = None  # (part, doc_id, text, hashes, positions, sorted set, sorted set of all grams)
     done = None  # the part whose guest was met
     for batch in common.slices(batches):
         out = {c: [] for c in ARROW.names}
-        for part, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for part, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
             if guest and part == done:
                 continue
             text = text or ""
@@ -125,49 +126,65 @@ def compare(batches):
             yield common.batch_of(ARROW, **out)
 
 
-def ranges(docs: DataFrame, parts: int) -> list[int]:
-    """At most parts - 1 ids that split the ids into even ranges."""
+LOWEST = -(1 << 63)
+
+
+def ranges(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """At most parts - 1 places (id, h) that split the rows into even ranges; null ids are LOWEST. An id that fills several is cut evenly by h."""
     if parts < 2:
         return []
     shares = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
-    found = docs.selectExpr(f"percentile_approx(doc_id, array({shares}), {20 * parts}) as x").first()["x"]
-    return sorted(set(found or []))
+    found = rows.selectExpr(f"percentile_approx(coalesce(doc_id, {LOWEST}L), array({shares}), {20 * parts}) as x").first()["x"] or []
+    return sorted((i, (k + 1) * (1 << 64) // m + LOWEST - 1) for i, m in Counter(found).items() for k in range(m))
+
+
+class Ranges:
+    """Which range a row is in: how many of the places lie before it."""
+
+    def __init__(self, places: list[tuple[int, int]]):
+        self.n = len(places) + 1
+        self.ids, self.h = (np.array([p[k] for p in places], np.int64) for k in (0, 1))
+
+    def of(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        part, end = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        for a in np.unique(part[end > part]).tolist():  # ids that are places themselves
+            own = np.flatnonzero((part == a) & (end > part))
+            part[own] = a + np.searchsorted(self.h[a : end[own[0]]], h[own], "left")
+        return part
 
 
 def with_successor(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """SCHEMA for each row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("text"))
     parts = parts or max(2 * common.partitions(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = np.array(ranges(rows, parts), np.int64)
+    split = Ranges(ranges(rows, parts))
 
-    def part_of(ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(edges, ids, side="left")
+    def part_of(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, h = batch.column(0).fill_null(LOWEST).to_numpy(), batch.column(1).to_numpy()
+        return split.of(ids, h), ids, h
 
     def dealt(batches):
-        schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64())])
+        schema = pa.schema([("part", pa.int32()), ("id", pa.int64()), ("h", pa.int64())])
         for batch in batches:
-            ids = batch.column(0)
-            yield common.batch_of(schema, part=part_of(ids.fill_null(-(1 << 63)).to_numpy()).astype(np.int32), doc_id=ids)
+            part, ids, h = part_of(batch)
+            yield common.batch_of(schema, part=part.astype(np.int32), id=ids, h=h)
 
-    # The first id of each range: as many rows as there are ranges.
-    heads = rows.select("doc_id").mapInArrow(dealt, "part int, doc_id long").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("v"), "doc_id")).alias("x")).select("part", "x.doc_id").collect()
-    order = sorted(r["part"] for r in heads)
-    head = {r["part"]: -(1 << 63) if r["doc_id"] is None else r["doc_id"] for r in heads}
+    # The first place of each range: as many rows as there are ranges.
+    heads = {r["part"]: tuple(r["x"]) for r in rows.select("doc_id", "h").mapInArrow(dealt, "part int, id long, h long").groupBy("part").agg(F.min(F.struct("id", "h")).alias("x")).collect()}
+    order = sorted(heads)
     before = {p: order[i - 1] for i, p in enumerate(order)}
-    before_of = np.array([before.get(p, -1) for p in range(len(edges) + 1)], np.int64)
-    head_of = np.array([head.get(p, 0) for p in range(len(edges) + 1)], np.int64)
-    full = np.array([p in head for p in range(len(edges) + 1)])
+    before_of = np.array([before.get(p, -1) for p in range(split.n)], np.int64)
+    head_of = np.array([heads.get(p, (0, 0)) for p in range(split.n)], np.int64).reshape(-1, 2)
 
     def placed(batches):
-        schema = pa.schema([("part", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
+        schema = pa.schema([("part", pa.int32()), ("guest", pa.bool_()), ("doc_id", pa.int64()), ("h", pa.int64()), ("text", pa.string())])
+        sent: set[int] = set()  # of equal heads one guest is enough, as only its text is read
         for batch in common.slices(batches, 2048):
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()
-            part = part_of(ids)
-            text = batch.column(1)
-            yield common.batch_of(schema, part=part.astype(np.int32), guest=np.zeros(len(ids), bool), doc_id=batch.column(0), text=text)
-            first = np.flatnonzero(full[part] & (head_of[part] == ids))
-            if len(first):
-                yield common.batch_of(schema, part=before_of[part[first]].astype(np.int32), guest=np.ones(len(first), bool), doc_id=batch.column(0).take(pa.array(first)), text=text.take(pa.array(first)))
-
-    out = rows.mapInArrow(placed, "part int, guest boolean, doc_id long, text string")
-    return out.repartitionById(len(edges) + 1, "part").sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(compare, SCHEMA)
+            part, ids, h = part_of(batch)
+            yield common.batch_of(schema, part=part.astype(np.int32), guest=np.zeros(len(ids), bool), doc_id=batch.column(0), h=batch.column(1), text=batch.column(2))
+            first = [i for i in np.flatnonzero((head_of[part, 0] == ids) & (head_of[part, 1] == h)).tolist() if not (part[i] in sent or sent.add(part[i]))]
+            if first:
+                yield common.batch_of(schema, part=before_of[part[first]].astype(np.int32), guest=np.ones(len(first), bool), **{c: batch.column(k).take(pa.array(first)) for k, c in enumerate(("doc_id", "h", "text"))})
+
+    out = rows.mapInArrow(placed, "part int, guest boolean, doc_id long, h long, text string")
+    return out.repartitionById(split.n, "part").sortWithinPartitions("part", "guest", "doc_id", "h", "text").mapInArrow(compare, SCHEMA)

@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments.
 
-Model: log-odds of words and of their beginnings between toxic and other documents with an
+Model: log-odds of holding a word or a beginning of one between toxic and other documents with an
 informative Dirichlet prior (Monroe, Colaresi and Quinn, "Fightin' Words"). Those whose
 log-odds are at least LEAST_Z standard deviations over 0 form the lexicon; a word scores the
 largest log-odds of itself and its beginnings there, if any, and every word loses DRIFT. In a
@@ -38,10 +38,8 @@ from millrace.llm import common
 
 SAMPLE = 20_000
 SHINGLE = 5
-#: Beginnings of words that count as features, in bytes, and how often a document counts for one.
-BEGINNINGS, MOST_A_DOCUMENT = range(4, 11), 5
-#: Entries of the lexicon at most, those with the largest z.
-TERMS = 50_000
+#: Beginnings of words that count as features, in bytes.
+BEGINNINGS = range(4, 11)
 PRIOR, LEAST_Z, DRIFT, SIGNIFICANT, CUT = 0.05, 3.0, 0.5, 0.01, 0.3
 #: ASCII punctuation becomes a space; bytes of longer code points stay.
 APART = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
@@ -180,22 +178,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def part_counts(sample: DataFrame) -> DataFrame:
-    """feature and its occurrences in toxic and in other documents, at most MOST_A_DOCUMENT each."""
+    """feature, and how many toxic and other documents hold it."""
 
     def run(batches):
         schema = pa.schema([("feature", pa.binary()), ("toxic", pa.int64()), ("other", pa.int64())])
         for batch in common.slices(batches, 4096):
             sums = (Counter(), Counter())
             for data, toxic in zip(common.bytes_of(batch.column(0)), batch.column(1).to_pylist()):
-                own = Counter(f for w in words(data) for f in parts(w))
-                sums[1 - toxic].update({f: min(n, MOST_A_DOCUMENT) for f, n in own.items()})
+                sums[1 - toxic].update({f for w in set(words(data)) for f in parts(w)})
             every = list(sums[0] | sums[1])
             yield common.batch_of(schema, feature=every, toxic=[sums[0][w] for w in every], other=[sums[1][w] for w in every])
 
     return sample.select("text", "toxic").mapInArrow(run, "feature binary, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """The lexicon holds all features that pass, of at most `sample` documents."""
     rows = labelled_sample(docs, labels, sample)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
@@ -208,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     own = PRIOR * (F.col("toxic") + F.col("other"))
     odds = F.log((F.col("toxic") + own) / (n1 + prior)) - F.log((F.col("other") + own) / (n0 + prior))
     z = odds / F.sqrt(1 / (F.col("toxic") + own) + 1 / (F.col("other") + own))
-    best = counts.select("feature", odds.alias("odds"), z.alias("z")).where(f"z >= {LEAST_Z} and odds > {DRIFT}").orderBy(F.desc("z"), "feature").limit(terms).collect()
+    best = counts.select("feature", odds.alias("odds"), z.alias("z")).where(f"z >= {LEAST_Z} and odds > {DRIFT}").orderBy("feature").collect()
     model = Model(Scores({bytes(r["feature"]): r["odds"] for r in best}), share=share)
     if not best:
         return model
@@ -254,7 +252,7 @@ SCHEMA = "doc_id long, score double, predicted int, n_passages int"
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and n_passages of every row. No exchange."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of at most SAMPLE documents
 
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_passages", pa.int32())])

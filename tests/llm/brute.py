@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -84,10 +85,16 @@ def components(rows: list[tuple], near: int = 3) -> dict:
     return {d: (f"{f:016x}", least[find(f)]) for f, ids in by.items() for d in ids}
 
 
-def winnow(text: str, gram: int, window: int, hash_) -> list[tuple[int, int]]:
-    h = hash_(text, gram)
+def gram_hash(gram: str) -> int:
+    """The upper half of a polynomial of the code points, each plus 1, modulo 2**64, after a multiplication."""
+    value = sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, c in enumerate(gram))
+    return value * 0xBF58476D1CE4E5B9 % (1 << 64) >> 32
+
+
+def winnow(text: str, gram: int, window: int) -> list[tuple[int, int]]:
+    h = [gram_hash(text[i : i + gram]) for i in range(max(1, len(text) - gram + 1))] if text else []
     out = []
-    for i in range(max(1, len(h) - window + 1) if len(h) else 0):
+    for i in range(max(1, len(h) - window + 1) if h else 0):
         part = h[i : i + window]
         least = min(part)
         at = i + max(j for j, x in enumerate(part) if x == least)
@@ -96,6 +103,23 @@ def winnow(text: str, gram: int, window: int, hash_) -> list[tuple[int, int]]:
     return out
 
 
+def toxic_words(text: str | None) -> list[bytes]:
+    """Words between white space and ASCII punctuation, A-Z lower-cased, as bytes."""
+    return re.sub(rb"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", b" ", (text or "").encode().lower()).split()
+
+
+def toxicity(text: str | None, lexicon: dict[bytes, float], rate: float, k: float, weights: tuple, drift: float, significant: float) -> tuple[float, int]:
+    """Score and significant passages: each word's best feature by trying all, segments by segments()."""
+    scores = []
+    for w in toxic_words(text):
+        known = [x for f, x in lexicon.items() if f == w + b" " or (len(f) < len(w) and f[-1:] != b" " and w.startswith(f))]
+        scores.append(max(known) - drift if known else -drift)
+    logs = [rate * sum(scores[a : b + 1]) - math.log(k * len(scores)) for a, b in segments(scores)]
+    best, n = min(40.0, max(0.0, max(logs, default=0.0))), sum(x > -math.log(significant) for x in logs)
+    z = weights[0] + weights[1] * best + weights[2] * math.log(1 + n)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), n
+
+
 def ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

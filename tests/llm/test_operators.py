@@ -1,5 +1,6 @@
 """The ten operators against plain versions, on texts with nulls, ties, copies and odd white space."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, common, fingerprints, packing, quality, secrets, sharding, simhash, substrings, toxicity, urlfilter
@@ -403,8 +405,9 @@ def test_removed_keeps_columns(docs, data):
 # ---- 5
 
 def test_fingerprints(docs, data, spark):
-    rows = sorted(((i, t) for i, t, *_ in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
-    fp = lambda t: ",".join(f"{h:08x}:{p}" for h, p in brute.winnow(t or "", fingerprints.GRAM, fingerprints.WINDOW, lambda s, g: fingerprints.gram_hashes(s, g).tolist()))
+    placed = lambda t: int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64))
+    rows = sorted(((i, t) for i, t, *_ in data), key=lambda r: (r[0] is not None, r[0] or 0, placed(r[1])))
+    fp = lambda t: ",".join(f"{h:08x}:{p}" for h, p in brute.winnow(t or "", fingerprints.GRAM, fingerprints.WINDOW))
     hashes = lambda s: {x.split(":")[0] for x in s.split(",") if x}
     near = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
     want = Counter()
@@ -418,6 +421,19 @@ def test_fingerprints(docs, data, spark):
         assert some(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next") == want
 
 
+def test_a_hot_id_is_split_by_text(spark):
+    """Most rows have one id, or none: they are spread over ranges, and the order is still (id, hash of the text)."""
+    rows = [(7, f"text {i} of many") for i in range(400)] + [(None, f"null {i}") for i in range(300)] + [(i, f"own {i}") for i in range(60)] + [(7, "text 3 of many")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranges = fingerprints.Ranges(fingerprints.ranges(docs, 12))
+    placed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    part = ranges.of(np.array([fingerprints.LOWEST if i is None else i for i, _ in rows]), np.array([placed(t) for _, t in rows]))
+    assert max(Counter(part.tolist()).values()) <= 3 * len(rows) / 12
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, placed(r[1])))
+    want = Counter((i, brute.sha(fingerprints.edited(t, order[(k + 1) % len(order)][1]))) for k, (i, t) in enumerate(order))
+    assert some(fingerprints.with_successor(docs, 12), "doc_id", "edited_sha256") == want
+
+
 def test_likeness_of_short_texts_and_passages(spark):
     rng = random.Random(12)
     letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
@@ -658,6 +674,46 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out) and len(out) == len(rows)
 
 
+def test_toxicity_scores_against_brute(spark, docs, data):
+    """The score of every text from the model's figures, by trying all features for each word and all segments."""
+    rng = random.Random(11)
+    bad = [f"vile{i}" for i in range(8)]
+    rows = [(i, " ".join(rng.choice(bad) if i % 4 == 0 and rng.random() < 0.3 else f"w{rng.randrange(60)}" for _ in range(40))) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.weights and len(model.lexicon) > 8
+    texts = [t for _, t in rows[:40]] + [t for _, t, *_ in data if t is None or len(t) < 400] + ["VILE1, vile2! vileness w1 " * 3, "vil vile"]
+    for t in texts:
+        score, n = model.score((t or "").encode())
+        want, passages = brute.toxicity(t, model.lexicon, model.rate, model.k, model.weights, toxicity.DRIFT, toxicity.SIGNIFICANT)
+        assert score == pytest.approx(want, abs=1e-9) and n == passages
+
+
+def test_toxicity_fit_against_brute(spark):
+    """The lexicon from document counts by definition."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"{'bad' if i % 3 == 0 else 'good'}{rng.randrange(4)}" if rng.random() < 0.2 else f"w{rng.randrange(90)}" for _ in range(30))) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    sample = [(r.text, r.toxic) for r in toxicity.labelled_sample(docs, labels).where("part < 3").collect()]
+    held, n = {}, [0, 0]
+    for text, toxic in sample:
+        own = {f for w in brute.toxic_words(text) for f in [w + b" ", *(w[:k] for k in range(4, 11) if k < len(w))]}
+        for f in own:
+            held.setdefault(f, [0, 0])[toxic] += 1
+            n[toxic] += f[-1:] == b" "
+    prior, want = toxicity.PRIOR * sum(n), {}
+    for f, (o, t) in held.items():
+        a = toxicity.PRIOR * (o + t)
+        odds = math.log((t + a) / (n[1] + prior)) - math.log((o + a) / (n[0] + prior))
+        if odds / math.sqrt(1 / (t + a) + 1 / (o + a)) >= toxicity.LEAST_Z and odds > toxicity.DRIFT:
+            want[f] = odds
+    assert toxicity.fit(docs, labels).lexicon == pytest.approx(want) and want
+
+
+def test_toxicity_on_an_empty_table(spark, none):
+    model = toxicity.fit(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(none, model).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
