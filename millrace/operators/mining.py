@@ -28,10 +28,13 @@ def hard_negatives(pairs: DataFrame, all_pairs: DataFrame, corpus: DataFrame, te
     hits = dense_topk(queries, corpus, high + 1)
     full = hits.groupBy("query_id").agg(F.max("rank").alias("pool")).where(F.col("pool") > high).select("query_id")
     band = hits.join(full, "query_id", "left_semi").where((F.col("rank") > low) & (F.col("rank") <= high)).select(F.col("query_id").alias("duplicate"), F.col("candidate_id").alias("negative"), "rank")
+    # A sibling has a canonical of the anchor's: two look-ups by row, where joining siblings would give the square of a family.
     link = all_pairs.select("duplicate", "canonical").distinct()
-    siblings = link.join(link.select("canonical", F.col("duplicate").alias("negative")), "canonical").select("duplicate", "negative")
+    of_anchor, of_negative = link.select("duplicate", F.col("canonical").alias("c")), link.select(F.col("duplicate").alias("negative"), F.col("canonical").alias("c"))
+    candidates = band.where("duplicate <> negative")
+    siblings = candidates.select("duplicate", "negative").join(of_anchor, "duplicate").join(of_negative, ["negative", "c"], "left_semi").select("duplicate", "negative")
     forbidden = siblings.union(link.select("duplicate", F.col("canonical").alias("negative")))
-    free = band.where("duplicate <> negative").join(forbidden, ["duplicate", "negative"], "left_anti")
+    free = candidates.join(forbidden, ["duplicate", "negative"], "left_anti")
     joined = free.join(anchors, "duplicate").join(texts.select(F.col("id").alias("negative"), F.col("text").alias("n")).where(F.length("n") >= least), "negative").where("n <> p and n <> a")
     order = Window.partitionBy("duplicate", "canonical").orderBy("rank")
     return joined.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_anchor).select("duplicate", "canonical", "negative", "place")

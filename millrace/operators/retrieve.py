@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.scratch import spread, stored
+
 DIGITS = 6
 QUERY_BLOCK, CORPUS_BLOCK = 1024, 32768
 RANKED = "query_id long, candidate_id long, score double"
@@ -47,11 +49,15 @@ def block_scores(queries: DataFrame, corpus: DataFrame, n: int, filtered: bool =
         if filtered:
             cut, made = left["cutoff"].to_numpy("datetime64[us]"), right["created_at"].to_numpy("datetime64[us]")
             scores[~(np.isnat(cut)[:, None] | (made[None] < cut[:, None]))] = -np.inf
-        ids = right["id"].to_numpy()
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        best = np.take_along_axis(scores, top, axis=1)
-        real = best > -np.inf
-        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), real.sum(axis=1)), "candidate_id": ids[top][real], "score": best[real]})
+        # All that reach the n-th best score of their query; of those equal to it the first, as ids ascend.
+        reach = np.partition(scores, -n, axis=1)[:, -n] if scores.shape[1] > n else np.full(len(scores), -np.inf)
+        row, at = np.nonzero((scores >= reach[:, None]) & (scores > -np.inf))
+        found = scores[row, at]
+        order = np.lexsort((at, -found, row))
+        row, at, found = row[order], at[order], found[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, at, found = row[place < n], at[place < n], found[place < n]
+        return pd.DataFrame({"query_id": left["query_id"].to_numpy()[row], "candidate_id": right["id"].to_numpy()[at], "score": found})
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, RANKED)
 
@@ -79,16 +85,19 @@ def title_weighted_topk(queries: DataFrame, corpus: DataFrame, titles: DataFrame
 
 
 def term_counts(docs: DataFrame, tokens: Column) -> DataFrame:
-    """(id, created_at, len, token, tf) of docs (id, text, created_at): one tokenization, and no
-    join to get at a document's length."""
-    rows = docs.select("id", "created_at", tokens.alias("tokens")).select("id", "created_at", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-    return rows.groupBy("id", "created_at", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, created_at, len, token, tf, head) of docs (id, text, created_at): one tokenization, and no join to get at a
+    document's length. head is 1 in one row of each document; one without tokens has a row with a null token."""
+    rows = docs.select("id", "created_at", tokens.alias("tokens"))
+    rows = rows.select("id", "created_at", F.greatest(F.size("tokens"), F.lit(0)).alias("len"), F.posexplode_outer("tokens").alias("pos", "token"))
+    counts = rows.groupBy("id", "created_at", "len", "token").agg(F.count("token").alias("tf"), F.min("pos").alias("first"))
+    return counts.select("id", "created_at", "len", "token", "tf", (F.coalesce("first", F.lit(0)) == 0).cast("int").alias("head"))
 
 
-def bm25_idf(terms: DataFrame, n_docs: Column) -> DataFrame:
-    """(token, df, idf). Negative values become EPSILON times the mean raw idf of the vocabulary,
+def bm25_idf(terms: DataFrame) -> DataFrame:
+    """(token, df, idf) of term_counts(). Negative values become EPSILON times the mean raw idf of the vocabulary,
     one number, taken as a scalar subquery."""
-    df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    n_docs = terms.agg(F.sum("head").cast("double").alias("n")).scalar()
+    df = terms.where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = EPSILON * raw.agg(F.avg("raw").alias("mean")).scalar()
     return raw.select("token", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
@@ -96,20 +105,27 @@ def bm25_idf(terms: DataFrame, n_docs: Column) -> DataFrame:
 
 def bm25_postings(docs: DataFrame, tokens: Column) -> DataFrame:
     """(token, id, created_at, weight): the inverted index with its weights worked out. Statistics
-    are those of the whole corpus, whatever a query's cutoff; empty documents count."""
-    n_docs = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    mean = docs.agg(F.avg(F.size(tokens)).alias("mean")).scalar()
-    terms = term_counts(docs, tokens)
-    idf = bm25_idf(terms, n_docs).select(F.col("token").alias("i_token"), "idf")
+    are those of the whole corpus, whatever a query's cutoff; empty documents count.
+
+    The corpus is tokenized once, into a stored table from which all statistics come. The vocabulary is stored too: a small one
+    is broadcast to the terms by the planner, a large one is sorted with them, where adaptive execution splits hot words."""
+    terms = stored(term_counts(spread(docs), tokens), "terms")
+    idf = stored(bm25_idf(terms), "idf").select(F.col("token").alias("i_token"), "idf")
+    mean = terms.where("head = 1").agg(F.avg("len").alias("mean")).scalar()
     norm = F.lit(K1) * (1 - B + B * F.col("len") / mean)
     return terms.join(idf, terms.token == idf.i_token).select("token", "id", "created_at", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
 
 
 def bm25_topk(queries: DataFrame, postings: DataFrame, tokens: Column, n: int) -> DataFrame:
     """queries: query_id, text, cutoff. Repeated query words count repeatedly; the n best are
-    taken first and those without a positive score dropped after."""
-    wanted = queries.select("query_id", "cutoff", F.explode(tokens).alias("token")).groupBy("query_id", "cutoff", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    met = wanted.join(postings, "token").where("cutoff is null or created_at < cutoff")
+    taken first and those without a positive score dropped after.
+
+    Rows that no query of the batch may see are dropped in the scan, by its latest cutoff; the batch's words are stored, so that
+    the planner knows their size: few are broadcast, and for many its join filter thins the postings before they move."""
+    wanted = stored(queries.select("query_id", "cutoff", F.explode(tokens).alias("token")).groupBy("query_id", "cutoff", "token").agg(F.count(F.lit(1)).alias("qtf")), "wanted")
+    last = wanted.agg(F.when(F.count_if(F.col("cutoff").isNull()) == 0, F.max("cutoff")).alias("last")).scalar()
+    early = postings.where(F.coalesce(F.col("created_at") < last, F.lit(True)))
+    met = early.join(wanted, "token").where("cutoff is null or created_at < cutoff")
     scored = met.groupBy("query_id", F.col("id").alias("candidate_id")).agg(F.round(F.sum(F.col("qtf") * F.col("weight")), DIGITS).alias("score"))
     return ranked(scored, n).where("score > 0")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import evaluate, fusion, labels, mining, pairs, profile, retrieve
+from millrace.operators.scratch import new_path, stored
 from millrace.plans import adapters as A
 from millrace.sources import tracker
 from millrace.streaming import ingest
@@ -100,8 +99,7 @@ def bm25(spark, sf, name: str, n: int = 10) -> DataFrame:
 
 @query(with_(*bm25_ctes(WORDS)) + "SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf):
-    docs = A.texts(spark, sf)
-    return retrieve.bm25_idf(retrieve.term_counts(docs, T.tok_words(F.col("text"))), docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()).select("token", "df", F.round("idf", 6).alias("idf"))
+    return retrieve.bm25_idf(stored(retrieve.term_counts(A.texts(spark, sf), T.tok_words(F.col("text"))), "terms")).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(bm25_sql(WORDS))
@@ -437,8 +435,7 @@ def replace_labels(spark, sf):
 
 @query(LATEST)
 def stream_upsert(spark, sf):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     schema = A.table(spark, sf, "events").schema
     table = ingest.VersionedTable(spark, f"{at}/events", schema)
     order = [F.desc("ts"), F.desc("event_id")]
@@ -498,9 +495,9 @@ def yearly_counts(spark, sf):
     return profile.per_year(A.table(spark, sf, "orders"), "o_orderdate")
 
 
-@query(with_(A.ISSUES, A.LABELS) + "SELECT number, title, state, state_reason, url, coalesce(string_agg(label, ',' ORDER BY label), '') AS labels, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM issues LEFT JOIN (SELECT DISTINCT * FROM issue_labels) ON issue_number = number GROUP BY ALL")
+@query(with_(A.ISSUES, A.LABELS) + f"SELECT number, title, regexp_replace(substr(substr({_CLEAN}, 1, 600), length(title) + 1), '^\\s+|\\s+$', '', 'g') AS snippet, state, state_reason, url, coalesce(string_agg(label, ',' ORDER BY label), '') AS labels, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM issues LEFT JOIN (SELECT DISTINCT * FROM issue_labels) ON issue_number = number GROUP BY ALL")
 def export_bundle(spark, sf):
-    return tracker.serving(A.issues(spark, sf), A.issue_labels(spark, sf)).drop("snippet")
+    return tracker.serving(A.issues(spark, sf), A.issue_labels(spark, sf))
 
 
 @query(with_(A.ISSUES) + "SELECT count(*) AS issues, strftime(min(created_at), '%Y-%m-%d') AS first, strftime(max(created_at), '%Y-%m-%d') AS last FROM issues WHERE number IN (SELECT vec_id FROM embeddings)")
