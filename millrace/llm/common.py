@@ -29,10 +29,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir. A local
     folder stands in only where that is unset and the master is local."""
@@ -104,6 +100,18 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own bound counts rows, whatever their length.
+BATCH = 4 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name. Arrow batches of the session get a bound in bytes if its user set none."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in spark.sparkContext.getConf().toDebugString():
+        spark.conf.set(bound, str(BATCH))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def partitions(df: DataFrame) -> int:
     """How many partitions df has before any exchange; grows with its files."""
     return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())

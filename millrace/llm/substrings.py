@@ -277,17 +277,18 @@ def by_chunk(answers: DataFrame, key: str, name: str) -> DataFrame:
     return answers.groupBy(F.col("chunk").alias(key)).agg(F.collect_list(F.struct("block", "bits")).alias(name))
 
 
-def about(docs: DataFrame) -> int:
-    """Windows to reckon with: one for each four bytes of text. It only sizes the sketch."""
-    return (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // 4
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts. There is about one window for each six; the sketch reckons with one for four."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
 def applied(docs: DataFrame, out: T.StructType | str, rewritten, size: int = 0, width: int = 0) -> DataFrame:
     """rewritten(rows, words, gone) for each chunk of docs; gone: which words of each row to remove."""
     docs = common.settled(docs, "docs")
-    size, width = size or CHUNK, width or WIDTH
-    # a small table gets blocks of less than width, so that all cores have some
-    space = max(1 << 14, COUNTERS * about(docs))
+    size_of_all, width = text_bytes(docs), width or WIDTH
+    # A small table gets smaller chunks and blocks, so that all cores have some and rows are light; only their number depends on it.
+    size = size or min(CHUNK, max(CHUNK >> 3, size_of_all >> 12))
+    space = max(1 << 14, COUNTERS * (size_of_all // 4))
     width = min(width, 1 << max(10, (space // 32).bit_length()))
     blocks = -(-space // width)
     blocks += -blocks % DEPTH
