@@ -52,7 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. What a stage wrote for itself goes when its result is written, and that goes
     when the next one's is; the result of the last stage but one stays for the rows to be read."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         if i + 1 == len(STAGES):
             return stage(spark, docs, sf_dir)
