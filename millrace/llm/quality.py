@@ -135,29 +135,33 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return wide.groupBy("lang", "source").agg(*[F.max(F.when(F.col("m") == i, F.col("q50") + sign * F.col("spread"))).alias(c) for c, (i, sign) in FENCES.items()])
 
 
-def judged(measured: DataFrame) -> DataFrame:
-    """measured with its group's fences, base_failed and kept. measured is a table, as sketches and the join both read it."""
+def judged(measured: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """rows (measured ones, by default the same) with their group's fences, base_failed and kept. The sketches are those of measured."""
+    rows = measured if rows is None else rows
     limits = common.stored(thresholds(sketches(measured)), "thresholds").select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *FENCES)
     # The planner broadcasts the thresholds while their files are small; beyond that it sorts, and splits a hot group.
-    out = measured.join(limits, measured.lang.eqNullSafe(limits.t_lang) & measured.source.eqNullSafe(limits.t_source), "left")
+    out = rows.join(limits, rows.lang.eqNullSafe(limits.t_lang) & rows.source.eqNullSafe(limits.t_source), "left")
     within = reduce(lambda a, b: a & b, [(F.expr(value(MEASURES[i])) - F.col(c)) * sign <= 0 for c, (i, sign) in FENCES.items()])
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).drop("t_lang", "t_source")
 
 
+def grouped_by(docs: DataFrame) -> list[Column]:
+    return [F.col(c).cast("string").alias(c) for c in ("lang", "source")]
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of docs, with its counts, its group's fences, base_failed and kept."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *grouped_by(docs), "text")
     return judged(common.stored(measure(rows), "measures"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """docs without the rejected rows; all columns stay. Each row travels with its own verdict, in one struct, so no
-    key joins them and no column's name can clash; there is no exchange of the rows."""
-    place = docs.columns.index("text")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    measured = common.stored(measure(rows, lambda batch: batch.column(0).field(place), 3), "measured")
-    return judged(measured).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    """docs without the rejected rows; all columns stay. The sketches come from a first scan. A second one measures each row again
+    and carries its verdict with it, so no key joins them and nothing but the thresholds is exchanged."""
+    n, place = len(docs.columns), docs.columns.index("text")
+    measured = common.stored(measure(docs.select(*grouped_by(docs), "text")), "measures")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *grouped_by(docs))
+    return judged(measured, measure(rows, lambda batch: batch.column(place), n + 2)).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def sql() -> str:

@@ -206,13 +206,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, that of its least doc_id; all columns stay. Of several rows with that id the one with
     the least fingerprint stays, then the first as the table was read.
 
-    Rows are kept whole in a table with a number, and the chosen numbers are looked up there, which exchanges them once."""
-    place = docs.columns.index("text")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("number"))
-    prints = common.stored(fingerprints(rows, lambda batch: batch.column(0).field(place), 3), "fingerprints")
-    each = labelled(prints.select("fp", "doc_id", "number"), "number")
-    chosen = common.stored(each.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.number").alias("c_number")), "chosen")
+    Rows are numbered by partition and place, alike in both scans, and the chosen numbers are looked up, which
+    exchanges the rows once."""
+    docs, name = common.settled(docs, "docs"), common.free_name(docs, "__number")
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    prints = common.stored(fingerprints(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("number"), "text"), lambda batch: batch.column(2), 2), "fingerprints")
+    each = labelled(prints, "number")
+    chosen = common.stored(each.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.number").alias(name)), "chosen")
     # Sorted and merged at every size: the chosen grow with the documents, so there is no bound to broadcast them by.
-    kept = prints.join(chosen.hint("merge"), prints.number == chosen.c_number, "left_semi")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return rows.join(chosen.hint("merge"), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

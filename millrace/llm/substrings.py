@@ -135,16 +135,25 @@ def unbits(data: bytes, n: int) -> np.ndarray:
 
 # ---- chunks
 
+def numbered(batches, size: int) -> Iterator[tuple[pa.RecordBatch, list[int], int]]:
+    """(batch, where its chunks begin and end, number of the first). Chunks are numbered by partition and place."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        cut = common.edges(batch, batch.num_rows, size)
+        yield batch, cut, number
+        number += len(cut) - 1
+
+
+def whole(batch: pa.RecordBatch) -> pa.StructArray:
+    return pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+
+
 def chunked(docs: DataFrame, size: int) -> DataFrame:
-    """docs as (chunk, rows): an array of whole rows. Chunks are numbered by partition and place."""
+    """docs as (chunk, rows): an array of whole rows."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            cut = common.edges(batch, batch.num_rows, size)
-            rows = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(cut) - 1), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), rows)], names=["chunk", "rows"])
-            number += len(cut) - 1
+        for batch, cut, number in numbered(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(cut) - 1), pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), whole(batch))], names=["chunk", "rows"])
 
     return docs.mapInArrow(run, T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rows", T.ArrayType(docs.schema))]))
 
@@ -286,8 +295,8 @@ def applied(docs: DataFrame, out: T.StructType | str, rewritten, size: int = 0,
     """rewritten(rows, words, gone) for each chunk of docs; gone: which words of each row to remove."""
     docs = common.settled(docs, "docs")
     size_of_all, width = text_bytes(docs), width or WIDTH
-    # A small table gets smaller chunks and blocks, so that all cores have some and rows are light; only their number depends on it.
-    size = size or min(CHUNK, max(CHUNK >> 3, size_of_all >> 12))
+    size = size or CHUNK
+    # a small table gets blocks of less than width, so that all cores have some
     space = max(1 << 14, COUNTERS * (size_of_all // 4))
     width = min(width, 1 << max(10, (space // 32).bit_length()))
     blocks = -(-space // width)
@@ -295,10 +304,11 @@ def applied(docs: DataFrame, out: T.StructType | str, rewritten, size: int = 0,
     space = blocks * width
 
     def sketched(batches):
-        for rows, chunk in each_chunk(batches, 2):
-            c = Chunk(rows, space)
-            for block, at in parts(c.cells, width):
-                yield block, chunk, packed(c.cells[at] - np.uint64(block * width)), bits(c.counts[at] > 1)
+        for batch, cut, number in numbered(batches, size):  # the same rows in the same batches as in chunked()
+            for i, (a, b) in enumerate(zip(cut, cut[1:])):
+                c = Chunk(whole(batch.slice(a, b - a)), space)
+                for block, at in parts(c.cells, width):
+                    yield block, number + i, packed(c.cells[at] - np.uint64(block * width)), bits(c.counts[at] > 1)
 
     def asked(batches):
         for rows, chunk, answers in each_chunk(batches, 3):
@@ -318,7 +328,7 @@ def applied(docs: DataFrame, out: T.StructType | str, rewritten, size: int = 0,
                 yield rewritten(rows, words, [np.zeros(w.n, bool) for w in words])
 
     chunks = chunked(docs, size)
-    sketch = chunks.mapInArrow(lambda b: messages(sketched(b)), ASK).groupBy("block").applyInArrow(added(width), ANSWER)
+    sketch = docs.mapInArrow(lambda b: messages(sketched(b)), ASK).groupBy("block").applyInArrow(added(width), ANSWER)
     reached = by_chunk(common.stored(sketch, "reached"), "r_chunk", "reached").hint("merge")
     # All columns go along in both uses, so that both read one and the same exchange of the texts.
     known = chunks.join(reached, chunks.chunk == reached.r_chunk, "left_outer").select("chunk", "rows", "reached")
