@@ -8,6 +8,9 @@
     since    ISO time, for the mode since
     keys     comma-separated numbers, for the mode keys, asked for in chunks of CHUNK
     page_size, limit, start
+    pages    for crawls that go on later: at most so many pages from the option cursor on. Rows are then
+             (node, page, cursor): a page's nodes, and one row with a null node and the next page's
+             cursor, null after the last
 
 Nodes come as JSON strings in the column ``node``, for from_json with schemas.NODE. A call that
 fails is repeated with growing pauses; when few calls remain, the reader waits. Chunks of keys
@@ -51,26 +54,37 @@ def called(client, *args, tries: int = TRIES, sleep=time.sleep) -> dict:
     raise AssertionError("unreachable")
 
 
-def pages(client, mode: str, since: str | None, page_size: int, limit: int | None, start: str | None, cursor: str | None = None, sleep=time.sleep) -> Iterator[tuple[dict, str | None]]:
-    """(node, cursor of its page). A sorted feed ends at the first node before its bound: created
-    before start in a backfill, updated before since otherwise. Null nodes are passed over."""
-    n = 0
+def feed(client, mode: str, since: str | None, page_size: int, start: str | None, cursor: str | None = None, sleep=time.sleep) -> Iterator[tuple[list[dict], str | None]]:
+    """Pages as (nodes, cursor of the next page, None after the last). A sorted feed ends at the first
+    node before its bound: created before start in a backfill, updated before since otherwise. Null
+    nodes are passed over, and so are those of a refresh that were created before start."""
     while True:
         got = called(client, mode, cursor, since, page_size, None, sleep=sleep)
+        kept, ended = [], False
         for node in got["nodes"]:
             if node is None:
                 continue
             if mode == "since" and since and node["updatedAt"] < since or mode == "backfill" and start and node["createdAt"] < start:
-                return
-            if mode == "since" and start and node["createdAt"] < start:
-                continue  # out of the corpus
+                ended = True
+                break
+            if not (mode == "since" and start and node["createdAt"] < start):
+                kept.append(node)
+        cursor = None if ended else got["cursor"] or None
+        yield kept, cursor
+        if cursor is None:
+            return
+
+
+def pages(client, mode: str, since: str | None, page_size: int, limit: int | None, start: str | None, cursor: str | None = None, sleep=time.sleep) -> Iterator[tuple[dict, str | None]]:
+    """(node, cursor of its page), at most limit of them."""
+    n = 0
+    for nodes, after in feed(client, mode, since, page_size, start, cursor, sleep):
+        for node in nodes:
             yield node, cursor
             n += 1
             if limit and n >= limit:
                 return
-        cursor = got["cursor"]
-        if not cursor:
-            return
+        cursor = after
 
 
 class Keys(InputPartition):
@@ -94,9 +108,25 @@ class PagedReader(DataSourceReader):
             nodes = called(client, "keys", None, None, CHUNK, partition.keys)["nodes"] if partition.keys else []
             yield from ((json.dumps(x),) for x in nodes if x is not None)
             return
-        for node, _ in pages(client, o.get("mode", "backfill"), o.get("since"), int(o.get("page_size", PAGE)), int(o["limit"]) if "limit" in o else None, o.get("start")):
+        asked = client, o.get("mode", "backfill"), o.get("since"), int(o.get("page_size", PAGE))
+        limit = int(o["limit"]) if "limit" in o else None
+        if "pages" in o:
+            yield from self.marked(feed(*asked, o.get("start"), o.get("cursor")), int(o["pages"]), limit)
+            return
+        for node, _ in pages(*asked, limit, o.get("start")):
             yield (json.dumps(node),)
 
+    @staticmethod
+    def marked(found, most: int, limit: int | None):
+        """Whole pages until there are `most` of them, or `limit` nodes."""
+        n = 0
+        for i, (nodes, after) in enumerate(found, 1):
+            yield from ((json.dumps(x), i, None) for x in nodes)
+            yield None, i, after
+            n += len(nodes)
+            if i >= most or limit and n >= limit:
+                return
+
 
 class PagedStreamReader(SimpleDataSourceStreamReader):
     """The offset is the high-water mark: the time at which the crawl before began."""
@@ -123,7 +153,7 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self):
-        return "node string"
+        return "node string, page int, cursor string" if "pages" in self.options else "node string"
 
     def reader(self, schema):
         return PagedReader(self.options)

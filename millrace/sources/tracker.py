@@ -35,6 +35,11 @@ def issues_from(nodes: DataFrame, start: str | None = CORPUS_START) -> DataFrame
     return rows if start is None else rows.where(F.col("created_at") >= F.lit(start).cast("timestamp_ntz"))
 
 
+def issue_rows(nodes: DataFrame, start: str | None = CORPUS_START) -> DataFrame:
+    """issues_from with the time of the fetch, as schemas.ISSUES has it."""
+    return issues_from(nodes, start).withColumn("fetched_at", F.current_timestamp())
+
+
 def comments_from(nodes: DataFrame) -> DataFrame:
     """Comment rows; those without an id are dropped."""
     c = nodes.select(F.col("number").alias("issue_number"), F.explode("comments.nodes").alias("c")).where("c.databaseId is not null")
@@ -62,6 +67,24 @@ def upsert(stored: DataFrame, fresh: DataFrame, key: str, version: str, kept: tu
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in kept else F.col(c) for c in stored.columns])
 
 
+def upsert_comments(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """stored with fresh comments by id. They carry no version, so the fresh author and body win; issue and
+    time stay as first stored. Of fresh rows with one id, the greatest by time, author and body counts."""
+    new = latest(fresh, ["id"], [F.desc_nulls_last(c) for c in ("created_at", "author", "body", "issue_number")])
+    old, found = stored.alias("old"), new.alias("new")
+    joined = old.join(found, F.col("old.id") == F.col("new.id"), "full_outer")
+    fresh_first = {c: F.when(F.col("new.id").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in ("author", "body")}
+    return joined.select(*[fresh_first.get(c, F.coalesce(f"old.{c}", f"new.{c}").alias(c)) for c in stored.columns])
+
+
+def upsert_vectors(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """stored with fresh vectors by issue and model, each with the time at which it was written. One fresh
+    row for each key is expected; of several the greatest vector counts."""
+    key = ["issue_number", "model_name"]
+    new = latest(fresh, key, [F.desc("vec")]).withColumn("created_at", F.current_timestamp())
+    return stored.join(new, key, "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
+
+
 def replace_labels(stored: DataFrame, touched: DataFrame, fresh: DataFrame) -> DataFrame:
     """Labels of touched issues (issue_number) are replaced by fresh ones, others stay."""
     return stored.join(touched.select("issue_number").distinct(), "issue_number", "left_anti").unionByName(fresh.select(*stored.columns).distinct())
