@@ -27,3 +27,13 @@ def test_hard_negatives_move_no_texts(spark):
         got.setdefault(r.duplicate, []).append(r.negative)
     assert got == {79: [2, *range(4, 20)], 50: [2, *[i for i in range(4, 20) if i != 10]]}
     assert "text#" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_triplets_pick_their_texts_once(spark):
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(7, "again")], "id long, text string")
+    negatives = spark.createDataFrame([(5, 2, 9, 1), (5, 2, 7, 2), (6, 99, 1, 1)], "duplicate long, canonical long, negative long, place int")
+    out = mining.triplets(negatives, texts)
+    # A side without a text has no triplet; two texts of one id give two.
+    assert sorted(tuple(r) for r in out.collect()) == [(5, 2, 7, 2, "text 5", "text 2", "again"), (5, 2, 7, 2, "text 5", "text 2", "text 7"), (5, 2, 9, 1, "text 5", "text 2", "text 9")]
+    # Nothing but the stored tables is left to read: three joins don't go through all texts thrice.
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
