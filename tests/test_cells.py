@@ -70,3 +70,15 @@ def test_queries_stream_past_a_cell(spark, monkeypatch):
         ok = sorted((i for i in range(100) if i % 28 < q % 28), key=lambda i: (-((i % 7) * (q % 7) + 1.0), i))[:3]
         want += [(q, k + 1, c) for k, c in enumerate(ok)]
     assert sorted(seen) == sorted(want)
+
+
+def test_idf_stores_only_counts_of_words(spark, monkeypatch):
+    """No table of documents and their words is written, and the words are not gone through again for the mean."""
+    from millrace.plans import queries
+
+    made = []
+    for module in (retrieve, queries):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: (made.append(df.columns), f(df, name))[1])
+    out = queries.bm25_idf(spark, "/root/testdata/sf0.001")
+    assert made == [["token", "df"]] and out.count()
+    assert "regexp" not in out.select("token")._jdf.queryExecution().optimizedPlan().toString()
