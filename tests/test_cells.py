@@ -72,6 +72,35 @@ def test_queries_stream_past_a_cell(spark, monkeypatch):
     assert sorted(seen) == sorted(want)
 
 
+def long_vectors(spark, rows, length):
+    """Queries, corpus and titles of vectors that are made only when a query runs."""
+    corpus = spark.range(rows).select("id", F.array_repeat(F.col("id").cast("float"), length).alias("vec"), F.lit(DAY[0]).cast("timestamp_ntz").alias("created_at"))
+    return corpus.select(F.col("id").alias("query_id"), "vec", F.lit(None).cast("timestamp_ntz").alias("cutoff")), corpus, corpus.select("id", "vec")
+
+
+@pytest.mark.parametrize(("search", "most"), [("dense_topk", 1 << 23), ("dense_topk_postfilter", 1 << 23), ("title_weighted_topk", 1 << 22)])
+def test_a_cell_is_bounded_in_numbers_not_in_rows(spark, monkeypatch, search, most):
+    """A cell of 16,384 vectors of 65,536 numbers would take 8 GB as doubles; 900 of them don't go into one either."""
+    made = []
+    monkeypatch.setattr(retrieve, "cell_scores", lambda q, c, cells, n, cell, f=retrieve.cell_scores: (made.append(cells), f(q, c, cells, n, cell))[1])
+    q, c, t = long_vectors(spark, 900, 65536)
+    getattr(retrieve, search)(q, c, *([t] if search.startswith("title") else []), 3)
+    assert made and 900 / made[0] * 65536 <= most
+
+
+def test_cells_of_long_vectors_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = [(i, [round(float(x), 2) for x in rng.normal(size=24)], DAY[i % 28]) for i in range(150)] + [(150, None, DAY[0])]
+    corpus = spark.createDataFrame(v, "id long, vec array<float>, created_at timestamp_ntz")
+    queries, titles = corpus.where("id % 5 = 0").select(F.col("id").alias("query_id"), "vec", F.col("created_at").alias("cutoff")), corpus.where("id % 7 <> 0").select("id", "vec")
+    searches = lambda: [rows(retrieve.dense_topk(queries, corpus, 4)), rows(retrieve.dense_topk_postfilter(queries, corpus, 4)), rows(retrieve.title_weighted_topk(queries, corpus, titles, 4))]
+    want = searches()
+    monkeypatch.setattr(retrieve, "NUMBERS", 240)
+    got = searches()
+    for a, b in zip(want, got):
+        assert a and [x[:3] for x in a] == [x[:3] for x in b] and np.allclose([x[3] for x in a], [x[3] for x in b], atol=2e-6)
+
+
 def test_idf_stores_only_counts_of_words(spark, monkeypatch):
     """No table of documents and their words is written, and the words are not gone through again for the mean."""
     from millrace.plans import queries
