@@ -111,3 +111,27 @@ def test_idf_stores_only_counts_of_words(spark, monkeypatch):
     out = queries.bm25_idf(spark, "/root/testdata/sf0.001")
     assert made == [["token", "df"]] and out.count()
     assert "regexp" not in out.select("token")._jdf.queryExecution().optimizedPlan().toString()
+
+
+#: Queries that search with vectors, and how many searches each makes.
+SEARCHES = {"mcnemar_exact": 2}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_a_query_holds_cells_of_bounded_size(spark, monkeypatch, name):
+    """Small bounds stand for a large input: no task takes more than a small cell's rows or scores at a time, and the rows are the same."""
+    import __spark_entry__ as entry
+
+    run = lambda: sorted(map(tuple, entry.queries()[name](spark, "/root/testdata/sf0.001").collect()), key=repr)
+    want, cells = run(), []
+    for bound, value in (("CORPUS_BLOCK", 50), ("LEAST_BLOCK", 50), ("SCORES", 128)):
+        monkeypatch.setattr(retrieve, bound, value)
+
+    def best(scores, seen, ids, n, f=retrieve.best):
+        assert len(ids) <= 100 and scores.size <= max(128, len(ids)), (scores.shape, len(ids))
+        return f(scores, seen, ids, n)
+
+    monkeypatch.setattr(retrieve, "best", best)
+    monkeypatch.setattr(retrieve, "cell_scores", lambda q, c, k, n, cell, f=retrieve.cell_scores: (cells.append(k), f(q, c, k, n, cell))[1])
+    assert want and run() == want
+    assert len(cells) == SEARCHES[name] and min(cells) >= 8
