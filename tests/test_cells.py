@@ -114,7 +114,7 @@ def test_idf_stores_only_counts_of_words(spark, monkeypatch):
 
 
 #: Queries that search with vectors, and how many searches each makes.
-SEARCHES = {"mcnemar_exact": 2, "eval_recall_mrr": 1, "rrf_three_lists": 3, "knn_label_vote": 1, "dense_topk_postfilter": 1, "rerank_task": 1}
+SEARCHES = {"mcnemar_exact": 2, "eval_recall_mrr": 1, "rrf_three_lists": 3, "knn_label_vote": 1, "dense_topk_postfilter": 1, "rerank_task": 1, "search_duplicates": 1}
 
 
 @pytest.mark.parametrize("name", SEARCHES)
